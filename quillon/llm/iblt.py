@@ -160,7 +160,7 @@ def edited(text: str, following: str) -> str:
 def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     """Columns of the result for texts and the texts that follow them."""
     out: dict[str, list] = {k: [] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-    for a, z in chunks(texts):
+    for a, z in chunks(texts, 1 << 18):
         n = z - a
         new = [edited(t, f).encode() for t, f in zip(texts[a:z], following[a:z], strict=True)]
         mine, theirs, other = pieces([t.encode() for t in texts[a:z]]), pieces(new), pieces([t.encode() for t in following[a:z]])
@@ -227,8 +227,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def run(batches):
         rows: list = []
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                rows += zip(*(b.column(k).slice(a, 1000).to_pylist() for k in range(4)), strict=True)
+            for a in range(0, b.num_rows, 250):
+                rows += zip(*(b.column(k).slice(a, 250).to_pylist() for k in range(4)), strict=True)
                 if len(rows) > 1:
                     yield told(rows, False)
                     rows = rows[-1:]
