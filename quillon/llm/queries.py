@@ -25,12 +25,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     text = F.coalesce("text", F.lit(""))
-    return out.select(
-        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shard(docs, shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
