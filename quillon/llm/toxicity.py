@@ -16,8 +16,8 @@ from .crf_langid import letters
 
 #: Labelled documents of each class that the classifier is fitted on, at most (whole texts).
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
-#: Features kept: those whose presence differs most between the classes, in MIN_DOCS documents of the sample at least.
-FEATURES, MIN_DOCS = 2000, 5
+#: Features kept: those whose presence differs most between the classes, by LEAST_Z standard errors and in MIN_DOCS documents at least.
+FEATURES, MIN_DOCS, LEAST_Z = 2000, 5, 2.5
 #: Lengths in bytes of the word beginnings that are features besides the word.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Weight of the squared change of score under a swap of identity terms, and of the squared weights.
@@ -110,7 +110,7 @@ class Classifier:
         p, q = (toxic + 0.5) / (y.sum() + 1), (total - toxic + 0.5) / (len(y) - y.sum() + 1)
         spread = np.sqrt(p * (1 - p) / (y.sum() + 1) + q * (1 - q) / (len(y) - y.sum() + 1))
         z = np.where(total >= MIN_DOCS, np.abs(p - q) / spread, 0)
-        keep = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z > 0).sum()))])
+        keep = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z > LEAST_Z).sum()))])
         if not len(keep):
             return none
         to = np.full(len(names), -1)
