@@ -47,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str = "piece_bpe_32k.model", folder: str = "/opt/tokenizers") -> str:
+    """A public tokenizer's vocabulary file; only the driver reads it."""
+    return f"{folder}/{name}"
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_langid, hmm_lm, iblt, mixing, multi_index, sharding, simhash, toxicity, wrapper
-from .common import table
+from . import crf_langid, hmm_lm, iblt, mixing, multi_index, sentencepiece_nbest, sharding, simhash, toxicity, wrapper
+from .common import table, vocabulary_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digest(table(spark, sf_dir, "documents"), vocabulary_path(), best=4)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.identify(table(spark, sf_dir, "documents"))
 
