@@ -252,3 +252,20 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string"))
     d = d.withColumn("known", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def scorer(spark, samples: dict[str, list[bytes]]):
+    """A function of a text column: the largest mean probability of a learned language; 0 without letters or languages."""
+    held = spark.sparkContext.broadcast(Crf.fit(samples) if samples else None)
+
+    @F.pandas_udf("double")
+    def score(text):
+        import pandas as pd
+
+        texts = pa.Array.from_pandas(text, type=pa.string())
+        crf = held.value
+        known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+        best, value = crf.label(letters(texts)) if crf else (np.full(len(texts), -1), np.zeros(len(texts)))
+        return pd.Series(np.where(known & (best >= 0), value, 0.0))
+
+    return score

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, mix64
 from .components import connected_components
 
 RADIUS = 4
@@ -40,6 +40,23 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
 
 
+def wide_fingerprint(text: str | None, words: int = 5, bits: int = 256) -> bytes:
+    """As fingerprint(), of `bits` bits (a multiple of 64): each shingle's hash is drawn out to as many."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return bytes(bits // 8)
+    joined = b" ".join(w)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends[words - 1 :].tolist() or [len(joined)]
+    digest, n = xxhash.xxh64_intdigest, len(ends)
+    total, salt = np.zeros(bits, np.int64), np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 1 << 14):
+        h = np.array([digest(joined[a:z], 42) for a, z in zip(starts[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=False)], np.uint64)
+        total += np.unpackbits(mix64(h[:, None] + salt).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > n, bitorder="little").tobytes()
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the fingerprint's bits as a signed long)."""
 
@@ -52,55 +69,51 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """uint64[n] -> uint64[64, ceil(n/64)]: word w of plane p has bit p of fingerprints 64w to 64w+63."""
-    lanes = -(-len(fps) // 64) * 64
-    bits = np.zeros((lanes, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """uint64[n] or uint64[n, m] -> uint64[64 m, ceil(n/64)]: word w of plane p has bit p of fingerprints 64w to 64w+63."""
+    n = len(fps)
+    raw = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    bits = np.zeros((-(-n // 64) * 64, raw.shape[1]), np.uint8)
+    bits[:n] = raw
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def _within(xored, dead: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose distance is at most radius (< 8), as bits like `dead`, which marks lanes that don't count.
+def _within(xored, dead: np.ndarray, radius: int, planes: int = 64) -> np.ndarray:
+    """Lanes whose distance is at most radius, as bits like `dead`, which marks lanes that don't count.
 
-    xored(p, live) gives plane p of the differences, for the words in `live` (all if None). Three carry-save counters and a
-    sticky overflow hold 64 distances in each word; words in which every lane is beyond the radius are abandoned."""
-    out = np.zeros_like(dead)
-    live = None
-    one = np.zeros_like(dead)
-    two, four, over = one.copy(), one.copy(), dead.copy()
-    beyond = lambda: over | _above(one, two, four, radius)
-    for p in range(64):
-        if p in (20, 32, 48):
-            keep = beyond() != _ONES
+    xored(p, live) gives plane p of the differences, for the words in `live` (all if None). Carry-save counters and a sticky
+    overflow hold 64 distances in each word; words in which every lane is beyond the radius are abandoned."""
+    out, live = np.zeros_like(dead), None
+    counters, over = [np.zeros_like(dead) for _ in range(radius.bit_length())], dead.copy()
+    looks = set(range(max(20, 2 * radius + 8), planes, max(12, planes // 16)))
+    for p in range(planes):
+        if p in looks:
+            keep = (over | _above(counters, radius)) != _ONES
             if not keep.any():
                 return out
-            at = np.nonzero(keep)
-            live = at if live is None else tuple(x[at[0]] for x in live)
-            one, two, four, over = one[keep], two[keep], four[keep], over[keep]
-        x = xored(p, live)
-        c = one & x
-        one = one ^ x
-        d = two & c
-        two = two ^ c
-        e = four & d
-        four = four ^ d
-        over = over | e
-    got = ~beyond()
+            if 4 * keep.sum() < 3 * keep.size:
+                at = np.nonzero(keep)
+                live = at if live is None else tuple(x[at[0]] for x in live)
+                counters, over = [c[keep] for c in counters], over[keep]
+        carry = xored(p, live)
+        for k, c in enumerate(counters):
+            counters[k], carry = c ^ carry, c & carry
+        over = over | carry
+    got = ~(over | _above(counters, radius))
     if live is None:
         return got
     out[live] = got
     return out
 
 
-def _above(one, two, four, radius):
-    """Bits of the lanes whose 3-bit count is over radius."""
-    above, equal = np.zeros_like(one), np.full_like(one, _ONES)
-    for plane, bit in ((four, radius >> 2 & 1), (two, radius >> 1 & 1), (one, radius & 1)):
-        if bit:
-            equal = equal & plane
+def _above(counters, radius):
+    """Bits of the lanes whose count is over radius."""
+    above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], _ONES)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counters[k]
         else:
-            above = above | (equal & plane)
-            equal = equal & ~plane
+            above = above | (equal & counters[k])
+            equal = equal & ~counters[k]
     return above
 
 
@@ -126,11 +139,12 @@ def shift_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
         end = np.flatnonzero(same)[-1] + 1
         group, same, words = group[: end + s], same[:end], -(-end // 64)
         planes = planes[:, : -(-(end + s) // 64)]
-        padded = np.concatenate([planes, np.zeros((64, s // 64 + 2), np.uint64)], axis=1)
+        depth = len(planes)
+        padded = np.concatenate([planes, np.zeros((depth, s // 64 + 2), np.uint64)], axis=1)
         q, r = divmod(s, 64)
         moved = padded[:, q : q + words] if not r else (padded[:, q : q + words] >> np.uint64(r)) | (padded[:, q + 1 : q + 1 + words] << np.uint64(64 - r))
         diff = planes[:, :words] ^ moved
-        got = _within(lambda p, live: diff[p] if live is None else diff[p][live], ~_pack(same, words), radius)
+        got = _within(lambda p, live: diff[p] if live is None else diff[p][live], ~_pack(same, words), radius, depth)
         i = _lanes(got)
         left.append(i)
         right.append(i + s)
@@ -167,8 +181,8 @@ def pivot_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
         valid = np.zeros(words * 64, bool)
         valid[: len(rest)] = ~gone
         dead = np.repeat(~_pack(valid, words)[None], len(p), axis=0)
-        sign = ((fps[p][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)) * _ONES  # a word for each pivot and plane
-        got = _within(lambda b, live: planes[b][None] ^ sign[:, b][:, None] if live is None else planes[b][live[1]] ^ sign[live[0], b], dead, radius)
+        sign = np.unpackbits(np.ascontiguousarray(fps[p]).view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little").astype(np.uint64) * _ONES  # a word for each pivot and plane
+        got = _within(lambda b, live: planes[b][None] ^ sign[:, b][:, None] if live is None else planes[b][live[1]] ^ sign[live[0], b], dead, radius, len(planes))
         for k in range(len(p)):
             hit = _lanes(got[k])
             hit = hit[~gone[hit]]
@@ -282,3 +296,81 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     d = d.join(lows, "component").select(F.col("fp").alias("fp_"), "component_id")
     out = rows.join(d, rows.fp == d.fp_)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Bits of the wide fingerprint, and the tables and key bits of its candidate search: at similarity 0.8 a table shares a key
+#: with probability 0.85 ** 16, one of all tables with 0.97; more alike texts are found more surely.
+WIDE, TABLES, KEY_BITS = 256, 48, 16
+
+
+def radius_of(similarity: float, bits: int, slack: float = 0.75) -> int:
+    """Differing bits that texts with this Jaccard similarity of shingles have, plus slack standard deviations.
+
+    Sets of equal size with Jaccard j have the cosine 2j / (1 + j), and bits of a SimHash differ with probability angle / pi."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(p * bits + slack * (p * (1 - p) * bits) ** 0.5)
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, component_id for similarity of word shingles estimated by wide SimHash fingerprints.
+
+    Candidates share KEY_BITS bits in one of TABLES fixed random choices of bits; they are compared bit-sliced, and link
+    within radius_of(similarity). Buckets over SMALL give spanning forests. Estimates of WIDE bits spread by about 0.03
+    around the similarity. Defined results as in near_duplicates()."""
+    bits, radius = WIDE, radius_of(similarity, WIDE)
+    rng = np.random.default_rng(5)
+    chosen = np.stack([rng.permutation(bits)[:KEY_BITS] for _ in range(TABLES)])
+
+    def prints(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, words, bits) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fp binary"), "wide")
+    d = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
+
+    def deal(batches):
+        for b in batches:
+            f = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            on = np.unpackbits(f, axis=1, bitorder="little")
+            keys = np.packbits(on[:, chosen], axis=2).astype(np.int32)  # row, table, two bytes
+            keys = (np.arange(TABLES, dtype=np.int32) << KEY_BITS) | keys[:, :, 0] << 8 | keys[:, :, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(1).to_numpy(), TABLES)), pa.array([x for x in b.column(0).to_pylist() for _ in range(TABLES)], pa.binary())], names=["key", "node", "fp"])
+
+    dealt = d.select("fp", "node").mapInArrow(deal, "key int, node long, fp binary").repartition("key").sortWithinPartitions("key")
+
+    def compare(key, node, fps):
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        sizes = np.diff(np.append(starts, len(key)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        mine = np.flatnonzero((sizes > 1)[group] & (sizes <= SMALL)[group])
+        if len(mine):
+            mine = mine[np.lexsort((mine, -sizes[group[mine]]))]
+            i, j = shift_links(fps[mine], group[mine], radius)
+            yield node[mine[i]], node[mine[j]]
+        for g in np.flatnonzero(sizes > SMALL):
+            s = slice(starts[g], starts[g] + sizes[g])
+            i, j = pivot_links(fps[s], radius)
+            yield node[s][i], node[s][j]
+
+    def run(batches):
+        held = None
+        for b in batches:
+            got = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+            held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+            if len(held[0]) < 1 << 14:
+                continue
+            last = np.flatnonzero(held[0] != held[0][-1])
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                for a, z in compare(*[x[:cut] for x in held]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            for a, z in compare(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+
+    comps = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = d.groupBy("component").agg(F.min("low").alias("component_id"))
+    d = d.join(lows, "component").select(F.col("fp").alias("fp_"), "component_id")
+    return rows.join(d, rows.fp == d.fp_).select("doc_id", "component_id")

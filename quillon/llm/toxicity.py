@@ -194,3 +194,16 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
 
     d = docs.select(F.col("doc_id").cast("long"), (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string"))
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def scorer(spark, model: Classifier):
+    """A function of a text column: the score of each text."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(text):
+        import pandas as pd
+
+        return pd.Series(held.value.score(letters(pa.Array.from_pandas(text, type=pa.string()))))
+
+    return score
