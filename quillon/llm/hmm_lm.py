@@ -22,6 +22,8 @@ START_DOCS, START_ROUNDS, PASSES = 200, 25, 2
 SMOOTHING = 20.0
 #: Padded tokens that are run through side by side.
 LANES = 1 << 18
+#: Steps for which emissions are looked up at once, and after how many the forward values are scaled.
+BLOCK, SCALED = 32, 8
 END = 0
 
 
@@ -47,8 +49,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def batches_of(ids: list[np.ndarray]):
-    """Sequences by falling length in batches of about LANES padded places: (positions, lengths, ids[time, sequence])."""
+def batches_of(ids: list[np.ndarray], pad: int):
+    """Sequences by falling length in batches of about LANES places: (positions, lengths, ids[time, sequence]), ended by `pad`."""
     lengths = np.array([len(x) for x in ids])
     order = np.argsort(-lengths, kind="stable")
     at = 0
@@ -56,7 +58,7 @@ def batches_of(ids: list[np.ndarray]):
         n = max(1, LANES // int(lengths[order[at]]))
         pick = order[at : at + n]
         size = lengths[pick]
-        out = np.zeros((len(pick), size[0]), np.int32)
+        out = np.full((len(pick), size[0]), pad, np.int32)
         out[np.arange(size[0]) < size[:, None]] = np.concatenate([ids[k] for k in pick])
         yield pick, size, np.ascontiguousarray(out.T)
         at += n
@@ -76,49 +78,75 @@ class Hmm:
         step = np.full((states, states), 0.3 / states) + np.eye(states) * 0.7
         return cls(np.full(states, 1 / states), step, emit / emit.sum(0))
 
+    def _padded(self) -> np.ndarray:
+        """Emissions with a last class that every state gives with 1: steps after the end change no sum."""
+        return np.vstack([self.emit, np.ones(self.emit.shape[1])])
+
     def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 likelihood of each sequence of classes by the scaled forward recursion."""
-        out = np.zeros(len(ids))
-        for pick, size, x in batches_of(ids):
-            total, v = np.zeros(len(pick)), None
-            active = np.searchsorted(-size, -np.arange(len(x)), side="left")  # sequences longer than t
-            for t in range(len(x)):
-                n = active[t]
-                v = (self.start if t == 0 else v[:n] @ self.step) * self.emit[x[t, :n]]
-                c = v.sum(1)
-                v /= c[:, None]
-                total[:n] += np.log10(c)
+        out, emit = np.zeros(len(ids)), self._padded()
+        for pick, size, x in batches_of(ids, len(self.emit)):
+            total, v = np.zeros(len(pick)), self.start
+            for t0 in range(0, len(x), BLOCK):
+                n = int(np.searchsorted(-size, -t0, side="left"))  # sequences longer than t0
+                e = emit.take(x[t0 : t0 + BLOCK, :n], axis=0)
+                v = v[:n] if t0 else v
+                for k in range(len(e)):
+                    v = (v @ self.step if t0 + k else v) * e[k]
+                    if k % SCALED == SCALED - 1 or k + 1 == len(e):
+                        c = v.sum(1)
+                        v /= c[:, None]
+                        total[:n] += np.log10(c)
             out[pick] = total
         return out
 
     def counts(self, ids: list[np.ndarray], into: Counts) -> None:
         """Add the expected counts of the sequences: one Baum-Welch pass over them."""
-        k = len(self.start)
-        for pick, size, x in batches_of(ids):
+        states, emit = len(self.start), self._padded()
+        back = np.ascontiguousarray(self.step.T)
+        for pick, size, x in batches_of(ids, len(self.emit)):
             steps, width = x.shape
-            active = np.searchsorted(-size, -np.arange(steps), side="left")
-            alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-            v = None
-            for t in range(steps):
-                n = active[t]
-                v = (self.start if t == 0 else v[:n] @ self.step) * self.emit[x[t, :n]]
-                c = v.sum(1)
-                v = v / c[:, None]
-                alpha[t, :n], scale[t, :n] = v, c
-            into.total += float(np.log(scale).sum())
-            back = self.step.T
-            beta = np.ones((width, k))
-            for t in range(steps - 2, -1, -1):  # alpha becomes the state probabilities on the way back
-                n = active[t + 1]
-                u = self.emit[x[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-                into.step += alpha[t, :n].T @ u
-                alpha[t + 1, :n] *= beta[:n]
-                beta[:n] = u @ back
-            alpha[0] *= beta
-            into.start += alpha[0].sum(0)
+            active = np.searchsorted(-size, -(np.arange(steps) // BLOCK * BLOCK), side="left")  # by block
+            alpha, scale = np.zeros((steps, width, states)), {}
             real = np.arange(steps)[:, None] < size[None]
+            tmp = np.empty((width, states))
+            for t0 in range(0, steps, BLOCK):
+                n = active[t0]
+                e = emit.take(x[t0 : t0 + BLOCK, :n], axis=0)
+                for k in range(len(e)):
+                    t, v = t0 + k, alpha[t0 + k, :n]
+                    if t:
+                        np.matmul(alpha[t - 1, :n], self.step, out=tmp[:n])
+                        np.multiply(tmp[:n], e[k], out=v)
+                    else:
+                        np.multiply(self.start, e[k], out=v)
+                    if k % SCALED == SCALED - 1 or k + 1 == len(e):
+                        c = v.sum(1, keepdims=True)
+                        v /= c
+                        scale[t] = c
+                        into.total += float(np.log(c).sum())
+            beta = np.ones((width, states))
+            for t0 in range((steps - 1) // BLOCK * BLOCK, -1, -BLOCK):  # alpha becomes the state probabilities on the way back
+                n, last = active[t0], min(t0 + BLOCK, steps) - 1
+                e = emit.take(x[t0 : last + 1, :n], axis=0)
+                u = np.empty((last - t0 + 1, n, states))  # of each step: emission, and what follows
+                for t in range(last, t0 - 1, -1):
+                    np.multiply(e[t - t0], beta[:n], out=u[t - t0])
+                    if t in scale:
+                        u[t - t0] /= scale[t]
+                    e[t - t0] = beta[:n]
+                    np.matmul(u[t - t0], back, out=beta[:n])
+                u *= real[t0 : last + 1, :n, None]
+                first = 1 if t0 == 0 else 0
+                into.step += alpha[t0 - 1 + first : last, :n].reshape(-1, states).T @ u[first:].reshape(-1, states)
+                if t0 + BLOCK < steps:
+                    alpha[last + 1, : active[last + 1]] *= after  # its forward values are no longer needed
+                alpha[t0 + 1 : last + 1, :n] *= e[1:]
+                after = e[0]
+            alpha[0, : active[0]] *= after
+            into.start += alpha[0].sum(0)
             flat, gamma = x[real], alpha[real]
-            for s in range(k):
+            for s in range(states):
                 into.emit[:, s] += np.bincount(flat, gamma[:, s], len(into.emit))
             into.tokens += np.bincount(flat, minlength=len(into.emit))
 
@@ -193,8 +221,8 @@ def train(docs: DataFrame) -> tuple[Vocab, Hmm, np.ndarray]:
             vocab, model = held.value
             c = Counts(classes)
             for b in batches:
-                for a in range(0, b.num_rows, 2500):
-                    model.counts(_ids(b.column(0).slice(a, 2500).to_pylist(), vocab)[1], c)
+                ids = [x for a in range(0, b.num_rows, 250) for x in _ids(b.column(0).slice(a, 250).to_pylist(), vocab)[1]]
+                model.counts(ids, c)
             some = np.flatnonzero(c.tokens)
             rows = np.concatenate([np.column_stack([c.emit[some], c.tokens[some]]), np.column_stack([c.step, np.zeros(STATES)]), np.append(c.start, c.total)[None]])
             names = np.concatenate([some, -1 - np.arange(STATES + 1)])
@@ -234,10 +262,11 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     def run(batches):
         vocab, model, logs, known = held.value
         for b in batches:
+            hmm_of = model.log10([x for a in range(0, b.num_rows, 250) for x in _ids(b.column(1).slice(a, 250).to_pylist(), vocab)[1]])
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 words, ids = _ids(part.column(1).to_pylist(), vocab)
-                hmm = model.log10(ids)
+                hmm = hmm_of[a : a + 1000]
                 row, ho, docs_id = (part.column(k).to_pylist() for k in (0, 2, 3))
                 base, seen, hist, who, what, tf, bk = [], [], [], [], [], [], []
                 for k, (w, x) in enumerate(zip(words, ids, strict=True)):
