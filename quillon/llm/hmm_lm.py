@@ -261,32 +261,35 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def run(batches):
         vocab, model, logs, known = held.value
+        logs, known = logs.copy(), known.copy()
+        logs[rare:], known[rare:] = 0.0, False  # words outside the vocabulary are counted by their rows
         for b in batches:
-            hmm_of = model.log10([x for a in range(0, b.num_rows, 250) for x in _ids(b.column(1).slice(a, 250).to_pylist(), vocab)[1]])
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                words, ids = _ids(part.column(1).to_pylist(), vocab)
-                hmm = hmm_of[a : a + 1000]
-                row, ho, docs_id = (part.column(k).to_pylist() for k in (0, 2, 3))
-                base, seen, hist, who, what, tf, bk = [], [], [], [], [], [], []
-                for k, (w, x) in enumerate(zip(words, ids, strict=True)):
+            row, texts, ho, docs_id = b.columns
+            ids, rows = [], [[], [], [], []]  # of words outside: document, word, count, bucket
+            for a in range(0, b.num_rows, 250):  # words of a few documents at a time
+                for w, x in zip(*_ids(texts.slice(a, 250).to_pylist(), vocab), strict=True):
                     out = np.flatnonzero(x >= rare)
-                    mine = np.delete(x, out)
-                    base.append(logs[mine].sum()), seen.append(int(known[mine].sum()))
-                    hist.append(np.stack(np.unique(x[out] - rare, return_counts=True), 1).ravel().tolist())
-                    got = Counter([w[i] for i in out.tolist()])
-                    who += [k] * len(got)
-                    what += got
-                    tf += got.values()
-                who_row = np.array(row, np.int64)[who] if who else np.zeros(0, np.int64)
-                bk = [bucket(w) for w in what]
-                n, m = len(words), len(what)
-                nul = lambda kind, size: pa.nulls(size, kind)
-                both = lambda mine, more, kind: pa.concat_arrays([pa.array(mine, kind) if mine is not None else nul(kind, n), pa.array(more, kind) if more is not None else nul(kind, m)])
-                yield pa.RecordBatch.from_arrays(
-                    [both(row, who_row, pa.int64()), both(None, what, pa.binary()), both([len(x) for x in ids], tf, pa.int64()), both(ho, np.array(ho)[who].tolist() if who else [], pa.bool_()), both(None, bk, pa.int32()), both(docs_id, None, pa.int64()), both(seen, None, pa.int64()), both(base, None, pa.float64()), both(hmm, None, pa.float64()), both(hist, None, pa.list_(pa.int32()))],
-                    names=["row", "word", "n", "held_out", "bucket", "doc_id", "known", "base", "hmm", "hist"],
-                )
+                    if len(out):
+                        mine = [w[i] for i in out.tolist()]
+                        got, of = Counter(mine), dict(zip(mine, (x[out] - rare).tolist(), strict=True))
+                        rows[0].append((len(ids), len(got)))
+                        rows[1] += got
+                        rows[2] += got.values()
+                        rows[3] += map(of.__getitem__, got)
+                    ids.append(x)
+            size = np.array([len(x) for x in ids])
+            flat, begin = np.concatenate(ids), np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(ids)), size)
+            outside = flat >= rare
+            pair, times = np.unique(owner[outside] * BUCKETS + flat[outside] - rare, return_counts=True)
+            ends = 2 * np.searchsorted(pair, np.arange(len(ids) + 1) * BUCKETS)
+            hist = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.stack([pair % BUCKETS, times], 1).ravel(), pa.int32()))
+            who = np.repeat([k for k, _ in rows[0]], [n for _, n in rows[0]]).astype(np.int64)
+            n, m = len(ids), len(who)
+            one = [row, pa.nulls(n, pa.binary()), pa.array(size, pa.int64()), ho, pa.nulls(n, pa.int32()), docs_id, pa.array(np.add.reduceat(known[flat].astype(np.int64), begin)), pa.array(np.add.reduceat(logs[flat], begin)), pa.array(model.log10(ids)), hist]
+            two = [row.take(pa.array(who)), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64()), ho.take(pa.array(who)), pa.array(rows[3], pa.int32()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())))]
+            for columns in (one, two):
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "word", "n", "held_out", "bucket", "doc_id", "known", "base", "hmm", "hist"])
 
     schema = "row long, word binary, n long, held_out boolean, bucket int, doc_id long, known long, base double, hmm double, hist array<int>"
     got = materialize(d.select(F.monotonically_increasing_id().alias("row"), "text", "held_out", "doc_id").mapInArrow(run, schema), "lm")
