@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .html_dom import BLOCK, Node, parse
 
-#: Pages of a host that one wrapper is induced from, at most; a larger host gets several wrappers, each from so many pages.
+#: Pages of a host that one wrapper is induced from; a host of twice as many gets several wrappers.
 PAGES = 500
+#: A host with more than this share of all pages, and more than PAGES, is dealt among several tasks: at most 10,000 hosts.
+HEAVY = 1e-4
 #: Template nodes that a wrapper can grow to; pages that do not fit are read by the roles of their own nodes.
 NODES = 4000
 _OUT_TAGS = frozenset("head nav footer aside form button dialog menu label fieldset".split())
@@ -221,15 +223,17 @@ def extract(pages: DataFrame) -> DataFrame:
     Pages of a host are aligned by simple tree matching. Slots that menus, headers, footers, sidebars, notices, adverts, forms
     or comments occupy are out; the article is the explicit article or main slot, or else where most varying text lies, less
     slots whose text stays the same. Within an explicit article nothing else is left out, so copies of an article on one host
-    keep their text. Hosts with more than PAGES pages are dealt into several groups by a hash of the page.
+    keep their text. Each wrapper comes from PAGES to 2 * PAGES pages of a host, or all; heavy hosts are dealt by a hash of the page.
     Defined results: null or empty html gives empty text; pages with a null url or without a host are one host; repeated
     rows give equal rows; an empty table gives no rows; other columns are ignored. A line break ends a block."""
     d = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     d = d.withColumn("host", host)
-    groups = d.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("groups")).where("groups > 1")
-    d = d.join(groups, "host", "left")
+    least = max(PAGES, int(pages.count() * HEAVY))
+    groups = d.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > least).select("host", F.ceil(F.col("n") / PAGES).cast("int").alias("groups"))
+    d = d.join(F.broadcast(groups), "host", "left")  # 1 / HEAVY rows at most
     d = d.withColumn("group", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).cast("int"))
+
     def packed(batches):
         for b in batches:
             html = [None if h is None else zlib.compress(h.encode(), 1) for h in b.column(4).to_pylist()]
@@ -238,23 +242,24 @@ def extract(pages: DataFrame) -> DataFrame:
     # Pages cross the exchange compressed: markup as text takes more than twice the room of its Parquet file.
     d = d.select("host", "group", F.col("page_id").cast("string"), "url", "html")  # pandas has no null among integers
     d = d.mapInArrow(packed, "host string, group int, page_id string, url string, html binary")
-    d = d.repartition("host", "group").sortWithinPartitions("host", "group")
+    d = d.repartition("host", "group").sortWithinPartitions("host", "group", "page_id")
 
     def run(frames):
         held: list = []
         for f in frames:
             for key, part in f.groupby(["host", "group"], sort=False, dropna=False):
-                if held and held[-1][0] == key:
-                    held[-1][1].append(part)
-                    continue
-                if held:
-                    yield told(held.pop()[1])
-                held.append((key, [part]))
+                if held and held[0] != key:
+                    yield told(held[1])
+                    held = []
+                f = pd.concat([held[1], part]) if held else part
+                while len(f) >= 2 * PAGES:
+                    yield told(f[:PAGES])
+                    f = f[PAGES:]
+                held = [key, f]
         if held:
-            yield told(held.pop()[1])
+            yield told(held[1])
 
-    def told(parts):
-        f = pd.concat(parts)
+    def told(f):
         texts = extract_group([zlib.decompress(h).decode() if h is not None else None for h in f["html"]])
         return pd.DataFrame({"page_id": f["page_id"].to_numpy(), "url": f["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
 
