@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def tokens(text: Column) -> Column:
@@ -90,7 +91,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict = {}
     for s in words:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from .index import positioned
 
-_BY_DOC = Window.partitionBy("term_id").orderBy("doc_id")
+
+def _by_doc() -> WindowSpec:
+    return Window.partitionBy("term_id").orderBy("doc_id")
 
 
 def next_posting(lists: DataFrame) -> DataFrame:
-    after = F.coalesce(F.lead("doc_id").over(_BY_DOC), F.col("num_docs"))
+    after = F.coalesce(F.lead("doc_id").over(_by_doc()), F.col("num_docs"))
     return lists.select("term_id", "doc_id", after.alias("next_doc_id"))
 
 
@@ -31,11 +33,11 @@ def move_to(lists: DataFrame) -> DataFrame:
 
 
 def prev_value(lists: DataFrame) -> DataFrame:
-    return lists.select("term_id", "doc_id", F.lag("doc_id", 1, 0).over(_BY_DOC).alias("prev_value"))
+    return lists.select("term_id", "doc_id", F.lag("doc_id", 1, 0).over(_by_doc()).alias("prev_value"))
 
 
 def freq_prefix_sums(lists: DataFrame) -> DataFrame:
-    total = F.sum("freq").over(_BY_DOC.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("freq").over(_by_doc().rowsBetween(Window.unboundedPreceding, 0))
     return positioned(lists).select("term_id", "position", total.alias("value"))
 
 
