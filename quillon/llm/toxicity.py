@@ -15,7 +15,7 @@ from .common import id_bucket
 from .crf_langid import letters
 
 #: Labelled documents of each class that the classifier is fitted on, at most (whole texts).
-FIT_TOXIC, FIT_CLEAN = 2500, 5000
+FIT_TOXIC, FIT_CLEAN = 2000, 3000
 #: Features kept: those whose presence differs most between the classes, by LEAST_Z standard errors and in MIN_DOCS documents at least.
 FEATURES, MIN_DOCS, LEAST_Z = 2000, 5, 2.5
 #: Lengths in bytes of the word beginnings that are features besides the word.
@@ -103,8 +103,11 @@ class Classifier:
         none = cls(np.zeros(0, np.uint64), np.zeros(0), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
         if not len(y) or y.sum() in (0, len(y)):
             return none
-        row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-        names, of = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+        flat = np.concatenate([r[1] for r in rows])
+        names = np.unique(flat)
+        of = np.searchsorted(names, flat).astype(np.int32)
+        del flat
         toxic = np.bincount(of, y[row], len(names))
         total = np.bincount(of, minlength=len(names)).astype(float)
         p, q = (toxic + 0.5) / (y.sum() + 1), (total - toxic + 0.5) / (len(y) - y.sum() + 1)
@@ -170,13 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Classifier:
     got.sort(key=lambda r: (r["label_id"], bytes(r["mine"])))
     left = {0: FIT_CLEAN, 1: FIT_TOXIC}
     rows, pairs = [], []
-    for r in got:
+    for k, r in enumerate(got):
+        got[k] = None  # the driver holds each row once
         if left[r["toxic"]]:
             left[r["toxic"]] -= 1
-            mine = np.frombuffer(bytes(r["mine"]), np.uint64)
+            mine = np.frombuffer(r["mine"], np.uint64)
             rows.append((r["toxic"], mine))
             if r["swapped"] is not None:
-                pairs.append((mine, np.frombuffer(bytes(r["swapped"]), np.uint64)))
+                pairs.append((mine, np.frombuffer(r["swapped"], np.uint64)))
     return Classifier.fit(rows, pairs)
 
 
