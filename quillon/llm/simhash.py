@@ -315,7 +315,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """docs (doc_id, text) -> doc_id, component_id for similarity of word shingles estimated by wide SimHash fingerprints.
 
     Candidates share KEY_BITS bits in one of TABLES fixed random choices of bits; they are compared bit-sliced, and link
-    within radius_of(similarity). Buckets over SMALL give spanning forests. Estimates of WIDE bits spread by about 0.03
+    within radius_of(similarity). Of each bucket a node gives one edge at most, to the smallest node that it is linked with. Estimates of WIDE bits spread by about 0.03
     around the similarity. Defined results as in near_duplicates()."""
     bits, radius = WIDE, radius_of(similarity, WIDE)
     rng = np.random.default_rng(5)
@@ -338,6 +338,20 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     dealt = d.select("fp", "node").mapInArrow(deal, "key int, node long, fp binary").repartition("key").sortWithinPartitions("key")
 
+    def smallest(i, j, node):
+        """Each linked node and the smallest node that its links reach: an edge for a node, however many links."""
+        at, low = np.unique(np.concatenate([i, j]), return_inverse=True)
+        i, j, label = low[: len(i)], low[len(i) :], node[at]
+        while True:
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, least)
+            np.minimum.at(new, j, least)
+            if (new == label).all():
+                other = label != node[at]
+                return node[at][other], label[other]
+            label = new
+
     def compare(key, node, fps):
         starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         sizes = np.diff(np.append(starts, len(key)))
@@ -346,11 +360,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         if len(mine):
             mine = mine[np.lexsort((mine, -sizes[group[mine]]))]
             i, j = shift_links(fps[mine], group[mine], radius)
-            yield node[mine[i]], node[mine[j]]
+            yield smallest(mine[i], mine[j], node)
         for g in np.flatnonzero(sizes > SMALL):
             s = slice(starts[g], starts[g] + sizes[g])
             i, j = pivot_links(fps[s], radius)
-            yield node[s][i], node[s][j]
+            yield smallest(i, j, node[s])
 
     def run(batches):
         held = None
