@@ -123,10 +123,12 @@ def nbest(text: str, n: int, pieces: Pieces) -> list[tuple[float, list[int]]]:
     best = [0.0] + [-np.inf] * len(text)
     for z in range(1, len(text) + 1):
         best[z] = max((best[a] + s for a, s, _ in ends[z]), default=-np.inf)
-    heap: list = [(-best[-1], 0, len(text), 0.0, None)]
+    # of equal totals (but for rounding) the path nearest the start goes on: else ties in runs of one letter are walked all at once
+    step = 1e-9 + 1e-10 * abs(best[-1])
+    heap: list = [(round(-best[-1] / step), len(text), 0, -best[-1], 0.0, None)]
     out, made = [], 0
     while heap and len(out) < n:
-        total, _, at, done, path = heapq.heappop(heap)
+        _, at, _, total, done, path = heapq.heappop(heap)
         if at == 0:
             ids = []
             while path is not None:
@@ -136,7 +138,8 @@ def nbest(text: str, n: int, pieces: Pieces) -> list[tuple[float, list[int]]]:
             continue
         for a, s, i in ends[at]:
             made += 1
-            heapq.heappush(heap, (-(best[a] + s + done), made, a, done + s, ((a, at, i), path)))
+            total = -(best[a] + s + done)
+            heapq.heappush(heap, (round(total / step), a, made, total, done + s, ((a, at, i), path)))
     return out
 
 
