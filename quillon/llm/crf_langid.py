@@ -181,7 +181,7 @@ class Crf:
         """For each text the label with the largest mean word probability, and that mean; -1 without words."""
         k = len(self.labels)
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        for a, z in chunks(texts):
+        for a, z in chunks(texts, 1 << 19):
             w = Words(texts[a:z])
             p = posteriors(w.scores(self.tables, self.lexicon), w.first, self.start, self.transitions)
             words = np.bincount(w.owner, minlength=z - a)
@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
     def run(batches):
         crf = held.value
-        for b in batches:
+        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):  # bounds the memory
             texts = letters(b.column(2))
             best, score = crf.label(texts) if crf and len(crf.labels) else (np.full(len(texts), -1), np.zeros(len(texts)))
             known = b.column(3).to_numpy(zero_copy_only=False)
@@ -262,10 +262,12 @@ def scorer(spark, samples: dict[str, list[bytes]]):
     def score(text):
         import pandas as pd
 
-        texts = pa.Array.from_pandas(text, type=pa.string())
-        crf = held.value
-        known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-        best, value = crf.label(letters(texts)) if crf else (np.full(len(texts), -1), np.zeros(len(texts)))
-        return pd.Series(np.where(known & (best >= 0), value, 0.0))
+        crf, out = held.value, np.zeros(len(text))
+        for a in range(0, len(text) if crf else 0, 1000):  # bounds the memory
+            texts = pa.Array.from_pandas(text[a : a + 1000], type=pa.string())
+            known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+            best, value = crf.label(letters(texts))
+            out[a : a + 1000] = np.where(known & (best >= 0), value, 0.0)
+        return pd.Series(out)
 
     return score

@@ -208,6 +208,7 @@ def scorer(spark, model: Classifier):
     def score(text):
         import pandas as pd
 
-        return pd.Series(held.value.score(letters(pa.Array.from_pandas(text, type=pa.string()))))
+        parts = [text[a : a + 1000] for a in range(0, len(text), 1000)]  # bounds the memory
+        return pd.Series(np.concatenate([held.value.score(letters(pa.Array.from_pandas(p, type=pa.string()))) for p in parts] or [np.zeros(0)]))
 
     return score
