@@ -100,7 +100,7 @@ class Classifier:
         Minimises the logistic loss plus RIDGE * |w|^2 plus COUNTERFACTUAL * mean (score change under the swap)^2. Classes
         weigh alike in choosing features; the bias is set for the shares of the classes in the sample."""
         y = np.array([r[0] for r in rows], float)
-        none = cls(np.zeros(0, np.uint64), np.zeros(0), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+        none = cls(np.zeros(0, np.uint64), np.zeros(0), min(-0.1, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))))  # knows of no sign, so condemns nothing
         if not len(y) or y.sum() in (0, len(y)):
             return none
         row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, score, predicted, in one pass over whole texts.
 
     Defined results: null, empty and blank texts get the score of the bias alone; without both labels in the sample every
-    score is the share of toxic ones; repeated rows get equal scores; a null id is in fold 0; an empty table gives no rows; other columns are ignored."""
+    score is the share of toxic ones, 0.475 at most; repeated rows get equal scores; a null id is in fold 0; an empty table gives no rows; other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights and an index of fixed size
 
     def run(batches):

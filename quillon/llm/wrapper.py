@@ -104,11 +104,11 @@ class Wrapper:
     def __init__(self):
         self.root, self.count = Slot("#root"), 1
 
-    def add(self, tree: Node) -> None:
-        """Align a page, add what the template lacks, and note the texts."""
-        self._add(folded(tree.children()), self.root, {}, False)
+    def add(self, tree: Node, count: bool = True) -> None:
+        """Align a page, add what the template lacks, and note the texts if they count."""
+        self._add(folded(tree.children()), self.root, {}, False, count)
 
-    def _add(self, page, slot, memo, out):
+    def _add(self, page, slot, memo, out, count):
         _, pairs = matching(page, slot.below, memo)
         to = dict(pairs)
         at = 0
@@ -123,19 +123,19 @@ class Wrapper:
                 at += 1
             else:
                 continue
-            child.pages += 1
+            child.pages += count
             child.out = out or is_boilerplate(nodes[0])
             own = " ".join(" ".join(x for n in nodes for x in n.items if isinstance(x, str)).split())
             child.size += len(own)
-            if len(child.texts) < 64 or own in child.texts:  # enough to tell constant from varying
+            if count and (len(child.texts) < 64 or own in child.texts):  # enough to tell constant from varying
                 child.texts[own] += 1
             for n in nodes:
                 n.slot = child
-            self._add(below, child, memo, child.out)
+            self._add(below, child, memo, child.out, count)
 
     def constant(self, slot: Slot) -> bool:
-        """Do at least two pages, and most of those with this slot, have one text there?"""
-        return slot.pages > 1 and slot.texts.most_common(1)[0][1] > max(1, 0.6 * slot.pages)
+        """Do at least three different pages, and most of those with this slot, have one text there?"""
+        return slot.pages > 2 and slot.texts.most_common(1)[0][1] > max(1, 0.6 * slot.pages)
 
     def content(self) -> set[int]:
         """Slots that hold the article: explicit ones, else the slot with the largest share of varying text below it."""
@@ -211,8 +211,10 @@ def extract_group(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host, by the wrapper that all of them induce."""
     trees = [parse(p or "") for p in pages]
     wrapper = Wrapper()
-    for t in trees:
-        wrapper.add(t)
+    seen: set[str | None] = set()
+    for p, t in zip(pages, trees, strict=True):
+        wrapper.add(t, count=p not in seen)  # copies of a page say nothing about what its host repeats
+        seen.add(p)
     content = wrapper.content()
     return [wrapper.extract(t, content) for t in trees]
 
