@@ -40,21 +40,26 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
 
 
-def wide_fingerprint(text: str | None, words: int = 5, bits: int = 256) -> bytes:
-    """As fingerprint(), of `bits` bits (a multiple of 64): each shingle's hash is drawn out to as many."""
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 of every shingle of lower-cased (A-Z) text, repeats kept; with fewer words one of the whole sequence, none without."""
     w = (text or "").encode().lower().split()
     if not w:
-        return bytes(bits // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[words - 1 :].tolist() or [len(joined)]
-    digest, n = xxhash.xxh64_intdigest, len(ends)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:z], 42) for a, z in zip(starts, ends, strict=False)), np.uint64, len(ends))
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int = 256) -> bytes:
+    """As fingerprint(), of `bits` bits (a multiple of 64): each shingle's hash is drawn out to as many."""
     total, salt = np.zeros(bits, np.int64), np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, n, 1 << 14):
-        h = np.array([digest(joined[a:z], 42) for a, z in zip(starts[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=False)], np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = hashes[at : at + (1 << 14)]
         total += np.unpackbits(mix64(h[:, None] + salt).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * total > n, bitorder="little").tobytes()
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -301,9 +306,13 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
 #: Bits of the wide fingerprint, and the tables and key bits of its candidate search: at similarity 0.8 a table shares a key
 #: with probability 0.85 ** 16, one of all tables with 0.97; more alike texts are found more surely.
 WIDE, TABLES, KEY_BITS = 256, 48, 16
+#: Linked groups of a bucket up to this size get the forest of their least distances, larger ones a forest for each of SLACKS.
+NEAREST = 4096
+#: Standard deviations of the distance at the threshold: candidates lie within the last one.
+SLACKS = (-2.0, -0.75, 0.75, 2.5)
 
 
-def radius_of(similarity: float, bits: int, slack: float = 0.75) -> int:
+def radius_of(similarity: float, bits: int, slack: float) -> int:
     """Differing bits that texts with this Jaccard similarity of shingles have, plus slack standard deviations.
 
     Sets of equal size with Jaccard j have the cosine 2j / (1 + j), and bits of a SimHash differ with probability angle / pi."""
@@ -311,22 +320,137 @@ def radius_of(similarity: float, bits: int, slack: float = 0.75) -> int:
     return int(p * bits + slack * (p * (1 - p) * bits) ** 0.5)
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, component_id for similarity of word shingles estimated by wide SimHash fingerprints.
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def least_forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Indices of the links (i, j) that make the spanning forest of least distance; ties go by nodes, so alike in all buckets."""
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    rank = np.empty(len(i), np.int64)
+    rank[np.lexsort((b, a, distance))] = np.arange(len(i))
+    link = np.argsort(rank)
+    comp, taken = np.arange(len(node)), []
+    while len(i):
+        x, y = comp[i], comp[j]
+        live = x != y
+        i, j, rank, x, y = i[live], j[live], rank[live], x[live], y[live]
+        if not len(i):
+            break
+        best = np.full(len(node), len(link))
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        chosen = np.isin(rank, best)
+        taken.append(link[rank[chosen]])
+        x, y, up = x[chosen], y[chosen], np.arange(len(node))
+        while True:
+            low, new = np.minimum(up[x], up[y]), up.copy()
+            for at in (x, y, up[x], up[y]):
+                np.minimum.at(new, at, low)
+            new = new[new]
+            if (new == up).all():
+                break
+            up = new
+        comp = up[comp]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def nearest_forest(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same forest of one connected group, a node at a time, without holding its pairs: links (i, j) within radius."""
+    n = len(fps)
+    best, source, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, bool)
+    order = np.argsort(node, kind="stable")
+    fps, now, left, right = fps[order], 0, [], []
+    for _ in range(n - 1):
+        out[now] = True
+        d = _distance(fps, fps[now])
+        nearer = (d < best) & ~out
+        best[nearer], source[nearer] = d[nearer], now
+        now = int(np.where(out, 1 << 30, best).argmin())
+        if best[now] <= radius:
+            left.append(source[now])
+            right.append(now)
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
+
+
+def bucket_links(fps: np.ndarray, node: np.ndarray, group: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between nodes of one group (sorted) within the last radius: a forest that joins all those so near, near first."""
+    sizes = np.bincount(group)
+    mine = np.flatnonzero((sizes > 1)[group] & (sizes <= SMALL)[group])
+    left, right = [], []
+    if len(mine):
+        mine = mine[np.lexsort((mine, -sizes[group[mine]]))]
+        i, j = shift_links(fps[mine], group[mine], radii[-1])
+        i, j = mine[i], mine[j]
+        k = least_forest(i, j, _distance(fps[i], fps[j]), node)
+        left.append(node[i[k]])
+        right.append(node[j[k]])
+    for g in np.flatnonzero(sizes > SMALL):
+        at = np.flatnonzero(group == g)
+        i, j = pivot_links(fps[at], radii[-1])
+        if not len(i):
+            continue
+        comp = _labels(i, j, len(at))
+        for c in np.unique(comp[i]):
+            part = at[comp == c]
+            if len(part) <= NEAREST:
+                i, j = nearest_forest(fps[part], node[part], radii[-1])
+            else:
+                i, j = (np.concatenate(x) for x in zip(*[pivot_links(fps[part], r) for r in radii], strict=True))
+                k = least_forest(i, j, _distance(fps[part][i], fps[part][j]), node[part])
+                i, j = i[k], j[k]
+            left.append(node[part[i]])
+            right.append(node[part[j]])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    up = np.arange(n)
+    while True:
+        low, new = np.minimum(up[i], up[j]), up.copy()
+        for at in (i, j, up[i], up[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == up).all():
+            return up
+        up = new
+
 
-    Candidates share KEY_BITS bits in one of TABLES fixed random choices of bits; they are compared bit-sliced, and link
-    within radius_of(similarity). Of each bucket a node gives one edge at most, to the smallest node that it is linked with. Estimates of WIDE bits spread by about 0.03
-    around the similarity. Defined results as in near_duplicates()."""
-    bits, radius = WIDE, radius_of(similarity, WIDE)
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats; 1 for two empty ones."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, component_id: the smallest doc_id reached by links of verified similarity.
+
+    Equal sets of shingles are one node. Candidates share KEY_BITS bits of a wide SimHash fingerprint in one of TABLES fixed
+    random choices of bits and are compared bit-sliced. Of each bucket a forest that joins all nodes within the radius, nearest
+    first, goes on; a link holds if the Jaccard similarity of the two sets of shingle hashes is `similarity` or more. So no text
+    joins a group without such a link, but a link that the forests of all buckets replaced by one that does not hold, or that no
+    table found, is missed. Defined results as in near_duplicates()."""
+    radii = [radius_of(similarity, WIDE, s) for s in SLACKS]
     rng = np.random.default_rng(5)
-    chosen = np.stack([rng.permutation(bits)[:KEY_BITS] for _ in range(TABLES)])
+    chosen = np.stack([rng.permutation(WIDE)[:KEY_BITS] for _ in range(TABLES)])
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
 
     def prints(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, words, bits) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
-
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fp binary"), "wide")
-    d = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
+            fps, sets = [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t, words)
+                fps.append(wide_fingerprint(h, WIDE))
+                sets.append(xxhash.xxh128_digest(np.unique(h).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "fp", "digest"])
+
+    rows = materialize(texts.mapInArrow(prints, "doc_id long, text_hash long, fp binary, digest binary"), "wide")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    d = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"))  # equal sets can differ in repeats, and so in fingerprints
+    d = materialize(d.select("digest", "fp", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
 
     def deal(batches):
         for b in batches:
@@ -338,33 +462,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     dealt = d.select("fp", "node").mapInArrow(deal, "key int, node long, fp binary").repartition("key").sortWithinPartitions("key")
 
-    def smallest(i, j, node):
-        """Each linked node and the smallest node that its links reach: an edge for a node, however many links."""
-        at, low = np.unique(np.concatenate([i, j]), return_inverse=True)
-        i, j, label = low[: len(i)], low[len(i) :], node[at]
-        while True:
-            least = np.minimum(label[i], label[j])
-            new = label.copy()
-            np.minimum.at(new, i, least)
-            np.minimum.at(new, j, least)
-            if (new == label).all():
-                other = label != node[at]
-                return node[at][other], label[other]
-            label = new
-
     def compare(key, node, fps):
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        sizes = np.diff(np.append(starts, len(key)))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        mine = np.flatnonzero((sizes > 1)[group] & (sizes <= SMALL)[group])
-        if len(mine):
-            mine = mine[np.lexsort((mine, -sizes[group[mine]]))]
-            i, j = shift_links(fps[mine], group[mine], radius)
-            yield smallest(mine[i], mine[j], node)
-        for g in np.flatnonzero(sizes > SMALL):
-            s = slice(starts[g], starts[g] + sizes[g])
-            i, j = pivot_links(fps[s], radius)
-            yield smallest(i, j, node[s])
+        a, b = bucket_links(fps, node, np.cumsum(np.diff(key, prepend=key[0]) != 0), radii)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         held = None
@@ -376,15 +476,32 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             last = np.flatnonzero(held[0] != held[0][-1])
             cut = last[-1] + 1 if len(last) else 0
             if cut:
-                for a, z in compare(*[x[:cut] for x in held]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+                yield compare(*[x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            for a, z in compare(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+            yield compare(*held)
+
+    links = materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    comps = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(d, "node").select("node", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    one = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    known = one.select("node", "text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))  # the same row twice has equal sets
+    known = materialize(known, "shingles")
+
+    def verify(batches):
+        for b in batches:
+            a, z = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
+            keep = [similarity_of(x, y) >= similarity for x, y in zip(a, z, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = links.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
+    pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
+    comps = connected_components(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long"))
     d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = d.groupBy("component").agg(F.min("low").alias("component_id"))
-    d = d.join(lows, "component").select(F.col("fp").alias("fp_"), "component_id")
-    return rows.join(d, rows.fp == d.fp_).select("doc_id", "component_id")
+    lows = d.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    d = d.join(lows, "component").select(F.col("digest").alias("digest_"), "component_id")
+    return rows.join(d, rows.digest == d.digest_).select("doc_id", "component_id")

@@ -83,6 +83,53 @@ def test_wide_groups(spark, texts):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(d).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
 
 
+def _alike(texts):
+    """Groups of ids by Jaccard similarity of 0.8 or more of five-word shingles, over all pairs."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, s = {i: shingles(t) for i, t in texts.items()}, Sets()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            s.join(a, b)
+    return {i: s.find(i) for i in texts}
+
+
+def test_wide_groups_against_all_pairs(spark, texts):
+    want, got = _alike(texts), {r["doc_id"]: r["component_id"] for r in simhash.near_groups(table(spark, SF, "documents")).collect()}
+    assert got.keys() == want.keys() and all(want[i] == want[c] for i, c in got.items())  # none joined without a link
+    assert sum(got[i] != want[i] for i in want) <= 1
+
+
+@pytest.mark.parametrize("small, nearest", [(64, 4096), (4, 4096), (4, 8)])
+def test_wide_groups_of_many_near_copies(small, nearest, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small), monkeypatch.setattr(simhash, "NEAREST", nearest)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(400)}" for _ in range(200)] for _ in range(2)]
+    many = [" ".join("new" if rng.random() < 0.01 else x for x in b) for b in base for _ in range(40)]
+    hashes = [simhash.shingle_hashes(t) for t in many]
+    fps = np.stack([np.frombuffer(simhash.wide_fingerprint(h), np.uint64) for h in hashes])
+    radii = [simhash.radius_of(0.8, simhash.WIDE, x) for x in simhash.SLACKS]
+    node = np.arange(len(many))[::-1] + 100
+    a, b = simhash.bucket_links(fps, node, np.zeros(len(many), int), radii)
+    near, linked, at = Sets(), Sets(), {n: k for k, n in enumerate(node.tolist())}
+    for i, j in itertools.combinations(range(len(many)), 2):
+        if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radii[-1]:
+            near.join(i, j)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert int(np.bitwise_count(fps[at[x]] ^ fps[at[y]]).sum()) <= radii[-1]
+        linked.join(at[x], at[y])
+    assert all(near.find(k) == linked.find(k) for k in range(len(many)))
+    assert len(a) == len(many) - len({near.find(k) for k in range(len(many))})
+
+
+def test_similarity_of():
+    x = lambda *v: np.array(v, np.uint64)
+    assert simhash.similarity_of(x(1, 2, 3, 4), x(1, 2, 3, 4, 5)) == 0.8 and simhash.similarity_of(x(), x()) == 1 and simhash.similarity_of(x(), x(1)) == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges, s = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5100)], Sets()
