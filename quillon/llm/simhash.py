@@ -442,14 +442,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         for b in batches:
             fps, sets = [], []
             for t in b.column(2).to_pylist():
-                h = shingle_hashes(t, words)
+                h = np.unique(shingle_hashes(t, words))  # the set that links are made of: repeats say nothing
                 fps.append(wide_fingerprint(h, WIDE))
-                sets.append(xxhash.xxh128_digest(np.unique(h).tobytes()))
+                sets.append(xxhash.xxh128_digest(h.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "fp", "digest"])
 
     rows = materialize(texts.mapInArrow(prints, "doc_id long, text_hash long, fp binary, digest binary"), "wide")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    d = rows.groupBy("digest").agg(first, F.min("fp").alias("fp"))  # equal sets can differ in repeats, and so in fingerprints
+    d = rows.groupBy("digest").agg(first, F.first("fp").alias("fp"))  # equal sets have equal fingerprints
     d = materialize(d.select("digest", "fp", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
 
     def deal(batches):

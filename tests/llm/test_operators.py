@@ -103,6 +103,21 @@ def test_wide_groups_against_all_pairs(spark, texts):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+def _groups(spark, texts):
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_groups(d).collect()}
+
+
+def test_wide_groups_of_repeated_lines(spark):
+    rng, texts = random.Random(6), {}
+    for k in range(0, 40, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        line = base[50:70]
+        texts[k], texts[k + 1] = " ".join(base), " ".join(base + line * 10)
+    want = _alike(texts)
+    assert all(want[k + 1] == k for k in range(0, 40, 2)) and _groups(spark, texts) == want
+
+
 @pytest.mark.parametrize("small, nearest", [(64, 4096), (4, 4096), (4, 8)])
 def test_wide_groups_of_many_near_copies(small, nearest, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small), monkeypatch.setattr(simhash, "NEAREST", nearest)
