@@ -312,6 +312,11 @@ NEAREST = 4096
 SLACKS = (-2.0, -0.75, 0.75, 2.5)
 
 
+#: Bits of the sketch that parts candidates, buckets whose candidates all go on, and what the order of shingles is made of: up to
+#: COMMON shingles that OFTEN or more texts of a task's part have. The order changes the work, never the links.
+SKETCH, FEW, OFTEN, COMMON = 1024, 8, 8, 1 << 17
+
+
 def radius_of(similarity: float, bits: int, slack: float) -> int:
     """Differing bits that texts with this Jaccard similarity of shingles have, plus slack standard deviations.
 
@@ -425,82 +430,204 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set (sorted), as many that sets alike by `similarity` share one of them.
+
+    Such sets share `needed` shingles at least, so they meet in the first n - needed + 1 of any order that is the same for all
+    sets. Here it goes by counts, of the shingles in `common` (sorted), and then by hash."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[at] == shingles, counts[at], 0)
+    needed = int(np.ceil(similarity * n - 1e-9))
+    return shingles[np.lexsort((shingles, count))[: n - needed + 1]]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the shingles that fall on it: sets differ in no fewer shingles than sketches in bits."""
+    on = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, of_others: np.ndarray, similarity: float) -> np.ndarray:
+    """Can sets of these sketches and sizes be alike by `similarity`? Never false if they are."""
+    least, most = np.minimum(sizes, of_others), np.maximum(sizes, of_others)
+    apart = (1 - similarity) / (1 + similarity) * (sizes + of_others) + 1e-6
+    return (least >= similarity * most - 1e-6) & (_distance(sketches, others) <= apart)
+
+
+def forest_links(key: np.ndarray, node: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j, whole) between rows of one key (sorted) that may_link(): all of a small bucket (whole), of others a spanning forest."""
+    starts = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
+    many = np.diff(np.append(starts, len(key)))
+    small = np.flatnonzero(np.repeat(many, many) <= FEW)
+    left, right, whole = [], [], []
+    for s in range(1, FEW):
+        i, j = small[:-s], small[s:]
+        same = key[i] == key[j]
+        i, j = i[same], j[same]
+        if not len(i):
+            break
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            ok = may_link(sketches[a], sizes[a], sketches[b], sizes[b], similarity)
+            left.append(a[ok])
+            right.append(b[ok])
+            whole.append(np.ones(int(ok.sum()), bool))
+    for g in np.flatnonzero(many > FEW):
+        rest = np.arange(starts[g], starts[g] + many[g])
+        of_rest, size = sketches[rest], sizes[rest]
+        queue: list[int] = []
+        while len(rest):
+            if not queue:
+                queue.append(int(rest[0]))
+                rest, of_rest, size = rest[1:], of_rest[1:], size[1:]
+                continue
+            p = queue.pop()
+            hit = may_link(sketches[p], sizes[p], of_rest, size, similarity)
+            if hit.any():
+                found = rest[hit]
+                left.append(np.full(len(found), p))
+                right.append(found)
+                whole.append(np.zeros(len(found), bool))
+                queue += found.tolist()
+                rest, of_rest, size = rest[~hit], of_rest[~hit], size[~hit]
+    if not left:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(bool)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(whole)
+
+
+def _whole_keys(batches, columns):
+    """Columns of rows sorted by the first, as arrays that hold every row of a key; columns(batch) gives the arrays."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = columns(b)
+        last = np.flatnonzero(got[0] != got[0][-1])
+        cut = last[-1] + 1 if len(last) else 0
+        if not cut and held and held[-1][0][-1] != got[0][0]:
+            cut = 0
+            if rows >= 1 << 14:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, rows = [], 0
+        elif cut and rows + cut >= 1 << 14:
+            held.append([x[:cut] for x in got])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, rows, got = [], 0, [x[cut:] for x in got]
+        held.append(got)
+        rows += len(got[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> doc_id, component_id: the smallest doc_id reached by links of verified similarity.
 
-    Equal sets of shingles are one node. Candidates share KEY_BITS bits of a wide SimHash fingerprint in one of TABLES fixed
-    random choices of bits and are compared bit-sliced. Of each bucket a forest that joins all nodes within the radius, nearest
-    first, goes on; a link holds if the Jaccard similarity of the two sets of shingle hashes is `similarity` or more. So no text
-    joins a group without such a link, but a link that the forests of all buckets replaced by one that does not hold, or that no
-    table found, is missed. Defined results as in near_duplicates()."""
-    radii = [radius_of(similarity, WIDE, s) for s in SLACKS]
-    rng = np.random.default_rng(5)
-    chosen = np.stack([rng.permutation(WIDE)[:KEY_BITS] for _ in range(TABLES)])
+    Equal sets of shingles are one node. A link holds if the Jaccard similarity of two sets of shingle hashes is `similarity` or
+    more. Candidates share a shingle of their prefixes, which two sets so alike always do, and are not told apart by sizes and
+    sketches, which never part two so alike. Of each bucket a forest of the candidates goes on and is verified on the sets.
+    Defined results as in near_duplicates()."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
 
     def prints(batches):
+        seen, n = [], 0
+
+        def counted():
+            token, count = np.unique(np.concatenate(seen), return_counts=True)
+            token, count = token[count >= OFTEN], count[count >= OFTEN]
+            none = pa.nulls(len(token))
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(token.view(np.int64)), pa.array(count)], names=names)
+
+        names = ["doc_id", "text_hash", "digest", "token", "n"]
         for b in batches:
-            fps, sets = [], []
+            sets = []
             for t in b.column(2).to_pylist():
-                h = np.unique(shingle_hashes(t, words))  # the set that links are made of: repeats say nothing
-                fps.append(wide_fingerprint(h, WIDE))
+                h = np.unique(shingle_hashes(t, words))
                 sets.append(xxhash.xxh128_digest(h.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "fp", "digest"])
+                seen.append(h)
+                n += len(h)
+                if n >= 1 << 21:
+                    yield counted()
+                    seen, n = [], 0
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), none, none], names=names)
+        if seen:
+            yield counted()
+
+    told = materialize(texts.mapInArrow(prints, "doc_id long, text_hash long, digest binary, token long, n long"), "sets")
+    rows = told.where("digest is not null").select("doc_id", "text_hash", "digest")
+    often = told.where("digest is null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    common, counts = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
+    order = np.argsort(common)
+    held = spark.sparkContext.broadcast((common[order], counts[order]))
 
-    rows = materialize(texts.mapInArrow(prints, "doc_id long, text_hash long, fp binary, digest binary"), "wide")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    d = rows.groupBy("digest").agg(first, F.first("fp").alias("fp"))  # equal sets have equal fingerprints
-    d = materialize(d.select("digest", "fp", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "wide-distinct")
+    d = rows.groupBy("digest").agg(first)
+    d = materialize(d.select("digest", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+
+    def texts_of(nodes):
+        """node, text of the nodes in d; a node twice if a row is there twice."""
+        wanted = nodes.select("node", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+        return texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select("node", "text")
 
     def deal(batches):
         for b in batches:
-            f = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            on = np.unpackbits(f, axis=1, bitorder="little")
-            keys = np.packbits(on[:, chosen], axis=2).astype(np.int32)  # row, table, two bytes
-            keys = (np.arange(TABLES, dtype=np.int32) << KEY_BITS) | keys[:, :, 0] << 8 | keys[:, :, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(1).to_numpy(), TABLES)), pa.array([x for x in b.column(0).to_pylist() for _ in range(TABLES)], pa.binary())], names=["key", "node", "fp"])
-
-    dealt = d.select("fp", "node").mapInArrow(deal, "key int, node long, fp binary").repartition("key").sortWithinPartitions("key")
+            keys = [prefix(np.unique(shingle_hashes(t, words)), similarity, *held.value) for t in b.column(1).to_pylist()]
+            node = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+            keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
+
+    def shared(batches):
+        for key, node in _whole_keys(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy()]):
+            once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node = key[once], node[once]
+            twice = np.append(False, key[1:] == key[:-1])
+            keep = twice | np.append(twice[1:], False)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    dealt = texts_of(d).mapInArrow(deal, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    dealt = materialize(dealt.mapInArrow(shared, "key long, node long"), "dealt")
 
-    def compare(key, node, fps):
-        a, b = bucket_links(fps, node, np.cumsum(np.diff(key, prepend=key[0]) != 0), radii)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def run(batches):
-        held = None
+    def sets(batches):
         for b in batches:
-            got = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
-            held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
-            if len(held[0]) < 1 << 14:
-                continue
-            last = np.flatnonzero(held[0] != held[0][-1])
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield compare(*[x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield compare(*held)
+            h = [np.unique(shingle_hashes(t, words)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
 
-    links = materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
+    known = texts_of(dealt.select("node").distinct().join(d, "node")).mapInArrow(sets, "node long, size int, sketch binary, shingles binary")
+    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "shingles")]), "shingles")  # the same row twice has equal sets
+    buckets = dealt.join(known.select("node", "size", "sketch").hint("merge"), "node").select("key", "node", "size", "sketch")
+    columns = lambda b: [*[b.column(k).to_numpy() for k in range(2)], b.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
 
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+    def candidates(batches):
+        for key, node, size, sk in _whole_keys(batches, columns):
+            i, j, whole = forest_links(key, node, size, sk, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key[i], mask=whole)], names=["a", "b", "key"])
 
-    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(d, "node").select("node", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
-    one = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
-    known = one.select("node", "text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))  # the same row twice has equal sets
-    known = materialize(known, "shingles")
+    links = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(candidates, "a long, b long, key long")
+    links = materialize(links.distinct(), "candidates")
 
     def verify(batches):
         for b in batches:
             a, z = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
-            keep = [similarity_of(x, y) >= similarity for x, y in zip(a, z, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            holds = [similarity_of(x, y) >= similarity for x, y in zip(a, z, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
+
+    def verified(pairs):
+        """pairs (a, b) -> a, b, holds."""
+        pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
+        pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
+        return materialize(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, holds boolean"), "verified")
 
-    pairs = links.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
-    pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
-    comps = connected_components(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long"))
+    tested = verified(links.select("a", "b").distinct())
+    comps = connected_components(tested.where("holds").select("a", "b"))
     d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = d.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     d = d.join(lows, "component").select(F.col("digest").alias("digest_"), "component_id")

@@ -118,6 +118,17 @@ def test_wide_groups_of_repeated_lines(spark):
     assert all(want[k + 1] == k for k in range(0, 40, 2)) and _groups(spark, texts) == want
 
 
+def test_wide_groups_of_short_texts(spark):
+    rng, texts = random.Random(7), {}
+    for new in (1, 1, 2, 3, 5):  # similarity 0.8: 4 new shingles for each 16 shared
+        for _ in range(60):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(4 * new + 4)]
+            texts[len(texts)] = " ".join(base)
+            texts[len(texts)] = " ".join(base + [f"w{rng.randrange(10**6)}" for _ in range(new)])
+    want = _alike(texts)
+    assert all(want[k] == k - k % 2 for k in texts) and _groups(spark, texts) == want
+
+
 @pytest.mark.parametrize("small, nearest", [(64, 4096), (4, 4096), (4, 8)])
 def test_wide_groups_of_many_near_copies(small, nearest, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small), monkeypatch.setattr(simhash, "NEAREST", nearest)
