@@ -501,6 +501,26 @@ def forest_links(key: np.ndarray, node: np.ndarray, sizes: np.ndarray, sketches:
     return np.concatenate(left), np.concatenate(right), np.concatenate(whole)
 
 
+def crossing_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Yields all pairs (i, j) of rows of one key (sorted) that may_link() and are of different components."""
+    starts = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
+    for a, z in zip(starts, np.append(starts[1:], len(key)), strict=True):
+        _, of, many = np.unique(component[a:z], return_inverse=True, return_counts=True)
+        rows = a + np.lexsort((of, many[of]))  # the largest component last: its rows meet those before only
+        comp, size, sk = component[rows], sizes[rows], sketches[rows]
+        left, right, n = [], [], 0
+        for i in range(z - a - int(many.max())):
+            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & may_link(sk[i], size[i], sk[i + 1 :], size[i + 1 :], similarity))
+            left.append(np.full(len(j), rows[i]))
+            right.append(rows[j])
+            n += len(j)
+            if n >= 1 << 16:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, n = [], [], 0
+        if n:
+            yield np.concatenate(left), np.concatenate(right)
+
+
 def _whole_keys(batches, columns):
     """Columns of rows sorted by the first, as arrays that hold every row of a key; columns(batch) gives the arrays."""
     held: list[list[np.ndarray]] = []
@@ -531,7 +551,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Equal sets of shingles are one node. A link holds if the Jaccard similarity of two sets of shingle hashes is `similarity` or
     more. Candidates share a shingle of their prefixes, which two sets so alike always do, and are not told apart by sizes and
-    sketches, which never part two so alike. Of each bucket a forest of the candidates goes on and is verified on the sets.
+    sketches, which never part two so alike. Of each bucket a forest of the candidates is verified on the sets; where a link of
+    it does not hold, so are all candidates of the bucket between groups still apart. So the groups are those of all pairs.
     Defined results as in near_duplicates()."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
@@ -628,6 +649,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     tested = verified(links.select("a", "b").distinct())
     comps = connected_components(tested.where("holds").select("a", "b"))
+    # A forest's link that does not hold leaves pieces apart that other pairs of its bucket may join: all those are tested.
+    failed = materialize(links.where("key is not null").join(tested.where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
+    if not failed.isEmpty():
+        apart = buckets.join(failed.hint("merge"), "key").join(comps, "node", "left").select("key", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
+
+        def crossing(batches):
+            for key, node, size, sk, comp in _whole_keys(batches, lambda b: [*columns(b), b.column(4).to_numpy()]):
+                for i, j in crossing_links(key, comp, size, sk, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+        more = apart.repartition("key").sortWithinPartitions("key", "node").mapInArrow(crossing, "a long, b long").distinct()
+        more = verified(more.join(tested.hint("merge"), ["a", "b"], "left_anti"))
+        comps = connected_components(tested.union(more).where("holds").select("a", "b"))
     d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = d.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     d = d.join(lows, "component").select(F.col("digest").alias("digest_"), "component_id")

@@ -129,6 +129,20 @@ def test_wide_groups_of_short_texts(spark):
     assert all(want[k] == k - k % 2 for k in texts) and _groups(spark, texts) == want
 
 
+def test_wide_groups_of_links_near_the_threshold(spark):
+    rng, texts = random.Random(1), {}
+    for k in range(40):
+        w = [f"w{at}" for at in range(2000)]
+        for at in rng.sample(range(2000), 13):
+            w[at] = f"n{k}-{at}"
+        for _ in range(3):
+            a = rng.randrange(2000)
+            del w[a : a + rng.randrange(20, 70)]
+        texts[k] = " ".join(w)
+    want = _alike(texts)
+    assert 5 < len(set(want.values())) < 30 and _groups(spark, texts) == want
+
+
 @pytest.mark.parametrize("small, nearest", [(64, 4096), (4, 4096), (4, 8)])
 def test_wide_groups_of_many_near_copies(small, nearest, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small), monkeypatch.setattr(simhash, "NEAREST", nearest)
