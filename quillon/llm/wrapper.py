@@ -18,8 +18,6 @@ from .html_dom import BLOCK, Node, parse
 PAGES = 500
 #: A host with more than this share of all pages, and more than PAGES, is dealt among several tasks: at most 10,000 hosts.
 HEAVY = 1e-4
-#: Template nodes that a wrapper can grow to; pages that do not fit are read by the roles of their own nodes.
-NODES = 4000
 _OUT_TAGS = frozenset("head nav footer aside form button dialog menu label fieldset".split())
 _OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -54,6 +52,11 @@ def _marks(names: str) -> set[str]:
     return found
 
 
+def role(tag: str, names: str) -> int:
+    """0 to 2 for an article, a main part and one named so; 9 for others."""
+    return 0 if tag == "article" else 1 if tag == "main" else 2 if set(names.split()) & _MAIN_NAMES and tag not in ("html", "body") else 9
+
+
 class Slot:
     """A node of the template: label, slots below it in order, and what pages have had there."""
 
@@ -74,6 +77,9 @@ def folded(nodes: list[Node]) -> list[tuple[str, list[Node], list]]:
 
 def matching(page: list, slots: list[Slot], memo: dict) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two ordered forests: the largest number of equal labels, and the pairs of roots that give it."""
+    both = {p[0] for p in page} & {s.label for s in slots}  # others match nothing, however many a template has
+    rows, columns = ([k for k, x in enumerate(labels) if x in both] for labels in ([p[0] for p in page], [s.label for s in slots]))
+    page, slots = [page[k] for k in rows], [slots[k] for k in columns]
     n, m = len(page), len(slots)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
@@ -94,7 +100,7 @@ def matching(page: list, slots: list[Slot], memo: dict) -> tuple[int, list[tuple
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((rows[i], columns[j]))
     return best[n][m], pairs[::-1]
 
 
@@ -102,7 +108,7 @@ class Wrapper:
     """The template of a group of pages, grown page by page."""
 
     def __init__(self):
-        self.root, self.count = Slot("#root"), 1
+        self.root = Slot("#root")
 
     def add(self, tree: Node, count: bool = True) -> None:
         """Align a page, add what the template lacks, and note the texts if they count."""
@@ -115,14 +121,11 @@ class Wrapper:
         for i, (label, nodes, below) in enumerate(page):
             if i in to:
                 child = slot.below[to[i] + at]
-            elif self.count < NODES:
+            else:
                 child = Slot(label)
                 left = max((j for k, j in pairs if k < i), default=-1) + at + 1
                 slot.below.insert(left, child)
-                self.count += 1
                 at += 1
-            else:
-                continue
             child.pages += count
             child.out = out or is_boilerplate(nodes[0])
             own = " ".join(" ".join(x for n in nodes for x in n.items if isinstance(x, str)).split())
@@ -145,7 +148,7 @@ class Wrapper:
             if slot.out:
                 return
             tag, _, names = slot.label.partition(" ")
-            rank = 0 if tag == "article" else 1 if tag == "main" else 2 if set(names.split()) & _MAIN_NAMES and tag not in ("html", "body") else 9
+            rank = role(tag, names)
             if rank < 9:
                 found.append((rank, -weight(slot), slot))
             for s in slot.below:
@@ -169,7 +172,10 @@ class Wrapper:
     def extract(self, tree: Node, content: set[int]) -> str:
         """Blocks of the content slots of an aligned page, joined by newlines."""
         blocks: list[list[str]] = [[]]
-        explicit = self._has(tree, content)
+        explicit, own = self._has(tree, content), set()
+        if not explicit:  # a page unlike its host's others is read by the roles of its own nodes
+            own = self._own(tree)
+            explicit = bool(own)
 
         def walk(node, inside):
             for x in node.items:
@@ -181,7 +187,7 @@ class Wrapper:
                 if block:
                     blocks.append([])
                 if not is_boilerplate(x) and not (x.tag != "article" and self.template_only(x)):
-                    walk(x, inside or x.slot is not None and id(x.slot) in content)
+                    walk(x, inside or id(x) in own or x.slot is not None and id(x.slot) in content)
                 if block:
                     blocks.append([])
 
@@ -192,6 +198,20 @@ class Wrapper:
     def _has(self, node, content) -> bool:
         return any(n.slot is not None and id(n.slot) in content or self._has(n, content) for n in node.children())
 
+    def _own(self, tree: Node) -> set[int]:
+        """The page's own nodes of the best explicit role, by the rule of content()."""
+        found: list[tuple[int, int]] = []
+
+        def explicit(node):
+            for x in node.children():
+                if not is_boilerplate(x):
+                    found.append((role(x.tag, x.names), id(x)))
+                    explicit(x)
+
+        explicit(tree)
+        best = min((f[0] for f in found), default=9)
+        return {i for rank, i in found if rank == best} if best < 9 else set()
+
     def template_only(self, node: Node) -> bool:
         """Is the node, outside an explicit article, a slot with the same text on most pages?"""
         if node.slot is None or node.slot.size == 0 or not self.constant(node.slot):

@@ -337,6 +337,15 @@ def test_op10():
     assert got == [f"Head {k}\nStory {k} with words of its own {k}\nand more {k} of them" for k in range(6)]
 
 
+def test_op10_pages_with_names_of_their_own():
+    body = "<div class=x><p>Teaser {0}</p></div><article id=post-{0}>" + "".join(f"<p class=p{{0}}-{k}>Line {k} of {{0}}</p>" for k in range(20)) + "</article><div class=by>Author {0}</div>"
+    got = wrapper.extract_group([f"<html><body id=page-{k}>{body.format(k)}</body></html>" for k in range(300)])
+    assert got == ["\n".join(f"Line {k} of {p}" for k in range(20)) for p in range(300)]
+    pages = [f"<body><article><p>Story {k} here</p></article><div class=x>Teaser {k}</div></body>" for k in range(5)]
+    got = wrapper.extract_group([*pages, "<body><main><p>About us</p></main><div class=y>Teaser of it</div></body>"])
+    assert got == [*[f"Story {k} here" for k in range(5)], "About us"]
+
+
 def test_pipeline(spark, texts, duck):
     docs, kept = table(spark, SF, "documents"), []
     model = toxicity.fit(docs, table(spark, SF, "labels"))
