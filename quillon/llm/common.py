@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,36 +10,40 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN_SCRATCH: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, and where it is unset a folder of the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base
-    if not _OWN_SCRATCH:
-        _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="quillon-"))
-    return _OWN_SCRATCH[0]
+    return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillon-scratch"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    Operators discard() what they are done with; what a result still reads is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    files, p = _file_system(spark, path)
+    files.deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_quillon_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more; other frames are left alone."""
+    for df in written:
+        path = getattr(df, "_quillon_path", None)
+        if path:
+            files, p = _file_system(df.sparkSession, path)
+            files.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

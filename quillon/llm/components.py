@@ -33,4 +33,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    discard(e)
+    return out

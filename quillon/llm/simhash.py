@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import discard, materialize
 from .components import connected_components
 
 RADIUS = 4
 #: Two of these blocks at least are equal in fingerprints at most RADIUS bits apart: RADIUS + 2 blocks.
 BLOCKS = RADIUS + 2
 #: A bucket with more fingerprints is dealt again by the bits that its key leaves out.
-HOT = 4096
+HOT = 1 << 14
+#: Parts that the rows of a large component are dealt into where its smallest row goes back to all of them.
+SALTS = 32
 #: Groups up to this size are compared by shifts of the whole batch, larger ones by pivots.
 SMALL = 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,15 +55,6 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     return np.fromiter((digest(joined[a:z], 42) for a, z in zip(starts, ends, strict=False)), np.uint64, len(ends))
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = 256) -> bytes:
-    """As fingerprint(), of `bits` bits (a multiple of 64): each shingle's hash is drawn out to as many."""
-    total, salt = np.zeros(bits, np.int64), np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 1 << 14):
-        h = hashes[at : at + (1 << 14)]
-        total += np.unpackbits(mix64(h[:, None] + salt).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the fingerprint's bits as a signed long)."""
 
@@ -88,7 +81,7 @@ def _within(xored, dead: np.ndarray, radius: int, planes: int = 64) -> np.ndarra
     xored(p, live) gives plane p of the differences, for the words in `live` (all if None). Carry-save counters and a sticky
     overflow hold 64 distances in each word; words in which every lane is beyond the radius are abandoned."""
     out, live = np.zeros_like(dead), None
-    counters, over = [np.zeros_like(dead) for _ in range(radius.bit_length())], dead.copy()
+    counters, over = [np.zeros_like(dead) for _ in range(max(1, radius.bit_length()))], dead.copy()
     looks = set(range(max(20, 2 * radius + 8), planes, max(12, planes // 16)))
     for p in range(planes):
         if p in looks:
@@ -143,13 +136,18 @@ def shift_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
             break
         end = np.flatnonzero(same)[-1] + 1
         group, same, words = group[: end + s], same[:end], -(-end // 64)
-        planes = planes[:, : -(-(end + s) // 64)]
-        depth = len(planes)
-        padded = np.concatenate([planes, np.zeros((depth, s // 64 + 2), np.uint64)], axis=1)
         q, r = divmod(s, 64)
-        moved = padded[:, q : q + words] if not r else (padded[:, q : q + words] >> np.uint64(r)) | (padded[:, q + 1 : q + 1 + words] << np.uint64(64 - r))
-        diff = planes[:, :words] ^ moved
-        got = _within(lambda p, live: diff[p] if live is None else diff[p][live], ~_pack(same, words), radius, depth)
+        need = words + q + 1
+        planes = planes[:, :need] if planes.shape[1] >= need else np.pad(planes, ((0, 0), (0, need - planes.shape[1])))
+
+        def xored(p, live, planes=planes, words=words, q=q, r=r):
+            plane = planes[p]
+            near, far = plane[q : q + words], plane[q + 1 : q + 1 + words]
+            moved = near if not r else (near >> np.uint64(r)) | (far << np.uint64(64 - r))
+            diff = plane[:words] ^ moved
+            return diff if live is None else diff[live]
+
+        got = _within(xored, ~_pack(same, words), radius, len(planes))
         i = _lanes(got)
         left.append(i)
         right.append(i + s)
@@ -158,39 +156,40 @@ def shift_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tup
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def pivot_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within radius: pairs (i, j). Reached lanes become pivots, 64 at a time, and leave the lanes."""
+def pivot_links(fps: np.ndarray, radius: int = RADIUS, allow=None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within radius: pairs (i, j). Reached lanes become pivots, 64 at a time, and leave the lanes.
+
+    allow(i, js), if given, says which of the lanes js within radius of i link with it."""
     left, right = [], []
-    rest, at = fps, np.arange(len(fps))
-    planes, gone = bit_planes(rest), np.zeros(len(rest), bool)
+    at = np.arange(len(fps))
+    planes, gone = bit_planes(fps), np.zeros(len(fps), bool)
     queue: list[np.ndarray] = []
     seed = 0
-    while True:
+    while not gone.all():  # once every lane is reached, the pivots in the queue can link nothing more
+        if 2 * gone.sum() > len(at) > 128:
+            at, seed = at[~gone], 0
+            planes, gone = bit_planes(fps[at]), np.zeros(len(at), bool)
         if not queue:
-            while seed < len(at) and gone[seed]:
+            while gone[seed]:
                 seed += 1
-            if seed >= len(at):
-                break
             gone[seed] = True
-            queue.append(np.array([at[seed]]))
+            queue.append(at[seed : seed + 1])
+            continue
         p = queue.pop()
         p, more = p[:64], p[64:]
         if len(more):
             queue.append(more)
-        if 2 * gone.sum() > len(at) > 128:
-            rest, at, seed = rest[~gone], at[~gone], 0
-            planes, gone = bit_planes(rest), np.zeros(len(rest), bool)
-        if not len(rest) or gone.all():
-            continue
         words = planes.shape[1]
         valid = np.zeros(words * 64, bool)
-        valid[: len(rest)] = ~gone
+        valid[: len(at)] = ~gone
         dead = np.repeat(~_pack(valid, words)[None], len(p), axis=0)
         sign = np.unpackbits(np.ascontiguousarray(fps[p]).view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little").astype(np.uint64) * _ONES  # a word for each pivot and plane
         got = _within(lambda b, live: planes[b][None] ^ sign[:, b][:, None] if live is None else planes[b][live[1]] ^ sign[live[0], b], dead, radius, len(planes))
         for k in range(len(p)):
             hit = _lanes(got[k])
             hit = hit[~gone[hit]]
+            if allow is not None and len(hit):
+                hit = hit[allow(int(p[k]), at[hit])]
             if len(hit):
                 gone[hit] = True
                 left.append(np.full(len(hit), p[k]))
@@ -218,45 +217,46 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """distinct (fp, node), each fp once -> edges (a, b) between nodes that connect all fp within RADIUS bits, and no others.
 
     15 tables, one for each two of six blocks of bits: near fingerprints share a key in one at least. Buckets over HOT are
-    dealt again by two of six blocks of their other bits, in which near ones again agree. Small buckets give a link in the
-    first table that has it; larger ones give a spanning forest. Rows of a bucket are compared bit-sliced."""
-    full = (1 << 64) - 1
-    tables = _tables(full)
-    first = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(tables)]))
-    rows = distinct.select("fp", "node", first.alias("x")).select("fp", "node", "x.t", "x.key")
-    hot = rows.groupBy("t", "key").count().where(F.col("count") > HOT).select("t", "key", F.lit(True).alias("hot"))
-    rows = rows.join(hot, ["t", "key"], "left")
-    again = F.array(*[F.array(*[F.struct((F.lit(len(tables) * (t + 1) + k)).alias("t"), F.col("fp").bitwiseAND(_signed(m | s)).alias("key")) for k, s in enumerate(_tables(full ^ m))]) for t, m in enumerate(tables)])
-    same = F.array(F.struct("t", "key"))
-    rows = rows.select("fp", "node", F.explode(F.when(F.col("hot"), F.element_at(again, F.col("t") + 1)).otherwise(same)).alias("x")).select("x.t", "x.key", "fp", "node")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key")
-    plain = np.array(tables, np.uint64)
-    deep = np.array([m | s for m in tables for s in _tables(full ^ m)], np.uint64)
+    dealt again by two of six blocks of their other bits, in which near ones again agree; of buckets that are large even then,
+    each two blocks of rows are a task. Small buckets give a link in the first table that has it; larger ones give a spanning
+    forest. Rows of a bucket are compared bit-sliced."""
+    spark = distinct.sparkSession
+    masks = _tables((1 << 64) - 1)
+    first = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(masks)]))
+    rows = distinct.select("fp", "node", first.alias("x")).select("x.t", "x.key", "fp", "node")
+    plain = np.array(masks, np.uint64)
+    hot = materialize(rows.groupBy("t", "key").count().where(F.col("count") > HOT).select("t", "key"), "hot")  # one row for HOT at least
+    if hot.isEmpty():
+        discard(hot)
+        rows = rows.withColumn("deep", F.lit(False))
+    else:
+        below = [(t, m | sub) for t, m in enumerate(masks) for sub in _tables(((1 << 64) - 1) ^ m)]
+        of = spark.createDataFrame([(t, k, m - (1 << 64) if m >> 63 else m) for k, (t, m) in enumerate(below)], "t int, below int, mask long")
+        again = rows.join(hot, ["t", "key"], "left_semi").join(F.broadcast(of), "t")  # 225 rows
+        again = again.select(F.xxhash64("below", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "node")
+        again = in_blocks(again).select(F.lit(len(masks)).alias("t"), F.col("task").alias("key"), "fp", "node", F.lit(True).alias("deep"))
+        rows = rows.join(hot, ["t", "key"], "left_anti").withColumn("deep", F.lit(False)).unionByName(again)
+    rows = rows.select("t", "key", "fp", "node", "deep").repartition("t", "key").sortWithinPartitions("t", "key")
 
     def first_table(t, fa, fb):
-        """Is t the first table in which the pair shares a key? Deep tables of one bucket are compared among themselves."""
+        """Is t the first table in which the pair shares a key?"""
         diff = fa ^ fb
         ok = np.ones(len(t), bool)
-        for k in range(int(t.max(initial=0)) + 1):
-            if k < len(plain):
-                ok &= ~((t < len(plain)) & (k < t) & ((diff & plain[k]) == 0))
-            else:
-                ok &= ~((t > k) & (t // len(plain) == k // len(plain)) & ((diff & deep[k - len(plain)]) == 0))
+        for k in range(len(plain)):
+            ok &= ~((k < t) & ((diff & plain[k]) == 0))
         return ok
 
-    def compare(t, key, fp, node):
-        change = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        starts = np.concatenate([[0], change])
+    def compare(t, key, fp, node, deep):
+        starts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1])
         sizes = np.diff(np.append(starts, len(t)))
         group = np.repeat(np.arange(len(starts)), sizes)
         mine = np.flatnonzero((sizes > 1)[group] & (sizes <= SMALL)[group])
         out = []
         if len(mine):
             mine = mine[np.lexsort((mine, -sizes[group[mine]]))]  # larger groups first: later shifts look at fewer lanes
-            order, f = group[mine], fp[mine]
-            i, j = shift_links(f, order)
+            i, j = shift_links(fp[mine], group[mine])
             i, j = mine[i], mine[j]
-            keep = first_table(t[i], fp[i], fp[j])
+            keep = deep[i] | first_table(t[i], fp[i], fp[j])
             out.append((node[i[keep]], node[j[keep]]))
         for g in np.flatnonzero(sizes > SMALL):
             s = slice(starts[g], starts[g] + sizes[g])
@@ -267,7 +267,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     def run(batches):
         held = None
         for b in batches:
-            got = [b.column(k).to_numpy() for k in range(4)]
+            got = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             got[2] = got[2].view(np.uint64)
             held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
             if len(held[0]) < 1 << 16:
@@ -296,132 +296,25 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     rows = materialize(fingerprints(docs, words), "fingerprints")
     d = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "distinct")
     comps = connected_components(fingerprint_links(d.select("fp", "node")))
-    d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = d.groupBy("component").agg(F.min("low").alias("component_id"))
-    d = d.join(lows, "component").select(F.col("fp").alias("fp_"), "component_id")
-    out = rows.join(d, rows.fp == d.fp_)
+    d_ = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    lows = d_.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d_ = materialize(d_.join(lows, ["component", "salt"]).select(F.col("fp").alias("fp_"), "component_id"), "fingerprint-components")  # written, so adaptive execution can split a hot fingerprint
+    out = rows.join(d_, rows.fp == d_.fp_)
+    discard(d, comps)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits of the wide fingerprint, and the tables and key bits of its candidate search: at similarity 0.8 a table shares a key
-#: with probability 0.85 ** 16, one of all tables with 0.97; more alike texts are found more surely.
-WIDE, TABLES, KEY_BITS = 256, 48, 16
-#: Linked groups of a bucket up to this size get the forest of their least distances, larger ones a forest for each of SLACKS.
-NEAREST = 4096
-#: Standard deviations of the distance at the threshold: candidates lie within the last one.
-SLACKS = (-2.0, -0.75, 0.75, 2.5)
-
-
-#: Bits of the sketch that parts candidates, buckets whose candidates all go on, and what the order of shingles is made of: up to
+#: Rows of a bucket that go to a task together; of a larger one, each two blocks of so many.
+BLOCK = 1 << 14
+#: Bits of the wide fingerprint, pivots that all buckets try side by side, and what the order of shingles is made of: up to
 #: COMMON shingles that OFTEN or more texts of a task's part have. The order changes the work, never the links.
-SKETCH, FEW, OFTEN, COMMON = 1024, 8, 8, 1 << 17
-
-
-def radius_of(similarity: float, bits: int, slack: float) -> int:
-    """Differing bits that texts with this Jaccard similarity of shingles have, plus slack standard deviations.
-
-    Sets of equal size with Jaccard j have the cosine 2j / (1 + j), and bits of a SimHash differ with probability angle / pi."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(p * bits + slack * (p * (1 - p) * bits) ** 0.5)
+SKETCH, ROUNDS, OFTEN, COMMON = 1024, 3, 8, 1 << 17
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def least_forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Indices of the links (i, j) that make the spanning forest of least distance; ties go by nodes, so alike in all buckets."""
-    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    rank = np.empty(len(i), np.int64)
-    rank[np.lexsort((b, a, distance))] = np.arange(len(i))
-    link = np.argsort(rank)
-    comp, taken = np.arange(len(node)), []
-    while len(i):
-        x, y = comp[i], comp[j]
-        live = x != y
-        i, j, rank, x, y = i[live], j[live], rank[live], x[live], y[live]
-        if not len(i):
-            break
-        best = np.full(len(node), len(link))
-        np.minimum.at(best, x, rank)
-        np.minimum.at(best, y, rank)
-        chosen = np.isin(rank, best)
-        taken.append(link[rank[chosen]])
-        x, y, up = x[chosen], y[chosen], np.arange(len(node))
-        while True:
-            low, new = np.minimum(up[x], up[y]), up.copy()
-            for at in (x, y, up[x], up[y]):
-                np.minimum.at(new, at, low)
-            new = new[new]
-            if (new == up).all():
-                break
-            up = new
-        comp = up[comp]
-    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
-
-
-def nearest_forest(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same forest of one connected group, a node at a time, without holding its pairs: links (i, j) within radius."""
-    n = len(fps)
-    best, source, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, bool)
-    order = np.argsort(node, kind="stable")
-    fps, now, left, right = fps[order], 0, [], []
-    for _ in range(n - 1):
-        out[now] = True
-        d = _distance(fps, fps[now])
-        nearer = (d < best) & ~out
-        best[nearer], source[nearer] = d[nearer], now
-        now = int(np.where(out, 1 << 30, best).argmin())
-        if best[now] <= radius:
-            left.append(source[now])
-            right.append(now)
-    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
-
-
-def bucket_links(fps: np.ndarray, node: np.ndarray, group: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) between nodes of one group (sorted) within the last radius: a forest that joins all those so near, near first."""
-    sizes = np.bincount(group)
-    mine = np.flatnonzero((sizes > 1)[group] & (sizes <= SMALL)[group])
-    left, right = [], []
-    if len(mine):
-        mine = mine[np.lexsort((mine, -sizes[group[mine]]))]
-        i, j = shift_links(fps[mine], group[mine], radii[-1])
-        i, j = mine[i], mine[j]
-        k = least_forest(i, j, _distance(fps[i], fps[j]), node)
-        left.append(node[i[k]])
-        right.append(node[j[k]])
-    for g in np.flatnonzero(sizes > SMALL):
-        at = np.flatnonzero(group == g)
-        i, j = pivot_links(fps[at], radii[-1])
-        if not len(i):
-            continue
-        comp = _labels(i, j, len(at))
-        for c in np.unique(comp[i]):
-            part = at[comp == c]
-            if len(part) <= NEAREST:
-                i, j = nearest_forest(fps[part], node[part], radii[-1])
-            else:
-                i, j = (np.concatenate(x) for x in zip(*[pivot_links(fps[part], r) for r in radii], strict=True))
-                k = least_forest(i, j, _distance(fps[part][i], fps[part][j]), node[part])
-                i, j = i[k], j[k]
-            left.append(node[part[i]])
-            right.append(node[part[j]])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    up = np.arange(n)
-    while True:
-        low, new = np.minimum(up[i], up[j]), up.copy()
-        for at in (i, j, up[i], up[j]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == up).all():
-            return up
-        up = new
-
-
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted arrays without repeats; 1 for two empty ones."""
     both = np.concatenate([a, b])
@@ -459,66 +352,116 @@ def may_link(sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray, of_oth
     return (least >= similarity * most - 1e-6) & (_distance(sketches, others) <= apart)
 
 
-def forest_links(key: np.ndarray, node: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (i, j, whole) between rows of one key (sorted) that may_link(): all of a small bucket (whole), of others a spanning forest."""
-    starts = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
-    many = np.diff(np.append(starts, len(key)))
-    small = np.flatnonzero(np.repeat(many, many) <= FEW)
-    left, right, whole = [], [], []
-    for s in range(1, FEW):
-        i, j = small[:-s], small[s:]
-        same = key[i] == key[j]
-        i, j = i[same], j[same]
-        if not len(i):
+def _apart(sizes: np.ndarray, similarity: float) -> int:
+    """Bits in which the sketches of two sets of these sizes can differ at most, if the sets are alike by `similarity`."""
+    return int(2 * (1 - similarity) / (1 + similarity) * sizes.max(initial=0) + 1e-6)
+
+
+def _slices(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray):
+    """(rows, bucket of each) of whole buckets, those of like radius side by side, the larger first."""
+    start, many = _buckets(key[rows])
+    most, group = np.maximum.reduceat(sizes[rows], start) if len(rows) else sizes[:0], np.repeat(np.arange(len(start)), many)
+    order = np.lexsort((group, -many[group], most[group]))
+    rows, group = rows[order], group[order]
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1) != 0), len(rows))
+    at = 0
+    while at < len(rows):
+        end = int(cuts[np.searchsorted(cuts, min(at + (1 << 14), len(rows)))])
+        yield rows[at:end], group[at:end]
+        at = end
+
+
+def _small_links(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Yields all pairs (i, j) of one key that may_link() among rows of small buckets, compared bit-sliced side by side."""
+    for mine, group in _slices(rows, key, sizes):
+        i, j = shift_links(sketches[mine], group, min(_apart(sizes[mine], similarity), SKETCH))
+        i, j = mine[i], mine[j]
+        ok = may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)
+        yield i[ok], j[ok]
+
+
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one key begin, and their lengths."""
+    starts = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0) if len(key) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _rounds(mine: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Yields links (i, j) that may_link() from ROUNDS pivots of each bucket, all buckets side by side; last the rows of buckets
+    that want more pivots. A bucket's pivots are its first row, then rows reached, then its first row not reached."""
+    lanes, n = np.arange(len(mine)), int(group.max()) + 1
+    head, after, pivot = np.full(n, -1), np.full(len(mine), -1), np.full(n, -1)
+    radius = min(_apart(sizes[mine], similarity), SKETCH)
+    for _ in range(ROUNDS):
+        here, first = np.unique(group[lanes], return_index=True)
+        fresh = head[here] < 0
+        pivot[here] = np.where(fresh, lanes[first], head[here])
+        head[here] = np.where(fresh, -1, after[pivot[here]])
+        lanes = np.delete(lanes, first[fresh])
+        if not len(lanes):
             break
-        for at in range(0, len(i), 1 << 14):
-            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            ok = may_link(sketches[a], sizes[a], sketches[b], sizes[b], similarity)
-            left.append(a[ok])
-            right.append(b[ok])
-            whole.append(np.ones(int(ok.sum()), bool))
-    for g in np.flatnonzero(many > FEW):
-        rest = np.arange(starts[g], starts[g] + many[g])
-        of_rest, size = sketches[rest], sizes[rest]
-        queue: list[int] = []
-        while len(rest):
-            if not queue:
-                queue.append(int(rest[0]))
-                rest, of_rest, size = rest[1:], of_rest[1:], size[1:]
-                continue
-            p = queue.pop()
-            hit = may_link(sketches[p], sizes[p], of_rest, size, similarity)
-            if hit.any():
-                found = rest[hit]
-                left.append(np.full(len(found), p))
-                right.append(found)
-                whole.append(np.zeros(len(found), bool))
-                queue += found.tolist()
-                rest, of_rest, size = rest[~hit], of_rest[~hit], size[~hit]
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(whole)
+        to = pivot[group[lanes]]
+        planes = bit_planes(sketches[mine[lanes]] ^ sketches[mine[to]])
+        dead = ~_pack(np.ones(len(lanes), bool), planes.shape[1])
+        near = _lanes(_within(lambda p, live, planes=planes: planes[p] if live is None else planes[p][live], dead, radius, len(planes)))
+        i, j = mine[to[near]], mine[lanes[near]]
+        near = near[may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)]
+        if not len(near):
+            continue
+        hit = lanes[near]
+        yield mine[to[near]], mine[hit]
+        of, begin = np.unique(group[hit], return_index=True)
+        after[hit[:-1]] = hit[1:]  # what is reached goes before what its bucket has in the queue
+        after[hit[np.append(begin[1:], len(hit)) - 1]] = head[of]
+        head[of] = hit[begin]
+        lanes = np.delete(lanes, near)
+    yield mine[np.isin(group, group[lanes])]
+
+
+def forest_links(key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Yields links (i, j) between rows of one key (sorted) that may_link(): they join all rows that any such links join.
+
+    Sketches are compared bit-sliced, at the radius of the largest sets; what is within it is looked at by its own sizes."""
+    _, many = _buckets(key)
+    unfinished = []
+    for mine, group in _slices(np.flatnonzero(np.repeat(many > 1, many)), key, sizes):
+        *links, left = _rounds(mine, group, sizes, sketches, similarity)
+        yield from links
+        unfinished.append(left)
+    rows = np.sort(np.concatenate(unfinished)) if unfinished else np.zeros(0, np.int64)
+    starts, many = _buckets(key[rows])
+    yield from _small_links(rows[np.repeat(many <= SMALL, many)], key, sizes, sketches, similarity)
+    for g in np.flatnonzero(many > SMALL):
+        mine = rows[starts[g] : starts[g] + many[g]]
+        sk, size = sketches[mine], sizes[mine]
+        i, j = pivot_links(sk, min(_apart(size, similarity), SKETCH), lambda p, to, sk=sk, size=size: may_link(sk[p], size[p], sk[to], size[to], similarity))
+        yield mine[i], mine[j]
 
 
 def crossing_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
     """Yields all pairs (i, j) of rows of one key (sorted) that may_link() and are of different components."""
-    starts = np.flatnonzero(np.diff(key, prepend=~key[0]) != 0)
-    for a, z in zip(starts, np.append(starts[1:], len(key)), strict=True):
-        _, of, many = np.unique(component[a:z], return_inverse=True, return_counts=True)
-        rows = a + np.lexsort((of, many[of]))  # the largest component last: its rows meet those before only
+    starts, many = _buckets(key)
+    for i, j in _small_links(np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many)), key, sizes, sketches, similarity):
+        apart = component[i] != component[j]
+        yield i[apart], j[apart]
+    for g in np.flatnonzero(many > SMALL):
+        a, z = starts[g], starts[g] + many[g]
+        _, of, of_each = np.unique(component[a:z], return_inverse=True, return_counts=True)
+        rows = a + np.lexsort((of, of_each[of]))  # the largest component last: its rows meet those before only
         comp, size, sk = component[rows], sizes[rows], sketches[rows]
-        left, right, n = [], [], 0
-        for i in range(z - a - int(many.max())):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & may_link(sk[i], size[i], sk[i + 1 :], size[i + 1 :], similarity))
-            left.append(np.full(len(j), rows[i]))
-            right.append(rows[j])
-            n += len(j)
-            if n >= 1 << 16:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, n = [], [], 0
-        if n:
-            yield np.concatenate(left), np.concatenate(right)
+        planes, n, radius = bit_planes(sk), z - a, min(_apart(size, similarity), SKETCH)
+        for p in range(0, int(n - of_each.max()), 64):
+            k = min(64, int(n - of_each.max()) - p)
+            valid = np.zeros(planes.shape[1] * 64, bool)
+            valid[p:n] = True
+            dead = np.repeat(~_pack(valid, planes.shape[1])[None], k, axis=0)
+            sign = np.unpackbits(np.ascontiguousarray(sk[p : p + k]).view(np.uint8).reshape(k, -1), axis=1, bitorder="little").astype(np.uint64) * _ONES
+            got = _within(lambda b, live, sign=sign: planes[b][None] ^ sign[:, b][:, None] if live is None else planes[b][live[1]] ^ sign[live[0], b], dead, radius, len(planes))
+            for x in range(k):
+                j = _lanes(got[x])
+                j = j[(j > p + x) & (comp[j] != comp[p + x])]
+                j = j[may_link(sk[p + x], size[p + x], sk[j], size[j], similarity)]
+                yield np.full(len(j), rows[p + x]), rows[j]
 
 
 def _whole_keys(batches, columns):
@@ -529,15 +472,13 @@ def _whole_keys(batches, columns):
         if not b.num_rows:
             continue
         got = columns(b)
-        last = np.flatnonzero(got[0] != got[0][-1])
-        cut = last[-1] + 1 if len(last) else 0
-        if not cut and held and held[-1][0][-1] != got[0][0]:
-            cut = 0
-            if rows >= 1 << 14:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held, rows = [], 0
-        elif cut and rows + cut >= 1 << 14:
+        if rows >= 1 << 14:
+            last = got[0] != held[-1][0][-1]
+            cut = int(np.argmax(last)) if last.any() else len(last)  # how far the last key goes on
             held.append([x[:cut] for x in got])
+            if cut == len(last):
+                rows += cut
+                continue
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
             held, rows, got = [], 0, [x[cut:] for x in got]
         held.append(got)
@@ -546,16 +487,47 @@ def _whole_keys(batches, columns):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _once(batches):
+    """(node, texts) of batches of node, text; a node that follows itself, as a repeated row does, is left out."""
+    last = None
+    for b in batches:
+        node = b.column(0).to_numpy()
+        if not len(node):
+            continue
+        new = np.append(last is None or node[0] != last, node[1:] != node[:-1])
+        last = node[-1]
+        yield node[new], b.column(1).filter(pa.array(new)).to_pylist()
+
+
+def in_blocks(buckets: DataFrame) -> DataFrame:
+    """buckets (key, node, ...) with `task`: the key, but where a key has more than BLOCK rows, each two of its blocks are a task.
+
+    So every two rows of a key meet in one task, and no task holds more than about two blocks of a key."""
+    hot = materialize(buckets.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("shares")), "hot")  # a row for BLOCK rows
+    if hot.isEmpty():
+        discard(hot)
+        return buckets.withColumn("task", F.col("key"))
+    cool = buckets.join(hot, "key", "left_anti").withColumn("task", F.col("key"))
+    b = F.pmod(F.xxhash64("node", F.lit(5)), F.col("shares")).cast("int")
+    dealt = buckets.join(hot, "key").withColumn("b", b).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return cool.unionByName(dealt.withColumn("task", F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c"))).drop("b", "c", "shares"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, component_id: the smallest doc_id reached by links of verified similarity.
+    """docs (doc_id, text) -> doc_id, text_hash, component_id, kept, n: a row for each doc_id and text, n times in docs.
 
+    component_id: the smallest doc_id reached by links of verified similarity; kept: is it the row that stands for its group?
     Equal sets of shingles are one node. A link holds if the Jaccard similarity of two sets of shingle hashes is `similarity` or
-    more. Candidates share a shingle of their prefixes, which two sets so alike always do, and are not told apart by sizes and
-    sketches, which never part two so alike. Of each bucket a forest of the candidates is verified on the sets; where a link of
-    it does not hold, so are all candidates of the bucket between groups still apart. So the groups are those of all pairs.
-    Defined results as in near_duplicates()."""
+    more. A node's wide fingerprint has the parity of its shingles on each bit where a SimHash has the majority, as two sets
+    then differ in no fewer shingles than fingerprints in bits: no link is lost to the radius. Candidates share a shingle of
+    their prefixes, which two sets so alike always do, and are compared bit-sliced. Of each bucket a forest of the candidates
+    is verified on the sets; where a link of it does not hold, so are all candidates of the bucket between groups still apart.
+    So the groups are those of all pairs, at any size of group.
+    Defined results: null, empty and blank texts are alike; of rows with one doc_id and different texts each is a row of its
+    own; a group is stood for by its smallest doc_id (then by the hash of the text), by a null id only if there is no other;
+    an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
 
     def prints(batches):
         seen, n = [], 0
@@ -583,14 +555,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             yield counted()
 
     told = materialize(texts.mapInArrow(prints, "doc_id long, text_hash long, digest binary, token long, n long"), "sets")
-    rows = told.where("digest is not null").select("doc_id", "text_hash", "digest")
+    rows = told.where("digest is not null").groupBy("doc_id", "text_hash", "digest").agg(F.count("*").alias("n"))
     often = told.where("digest is null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).collect()
     common, counts = np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)
     order = np.argsort(common)
     held = spark.sparkContext.broadcast((common[order], counts[order]))
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    d = rows.groupBy("digest").agg(first)
+    d = told.where("digest is not null").groupBy("digest").agg(first)
     d = materialize(d.select("digest", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
     def texts_of(nodes):
@@ -599,40 +571,39 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         return texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select("node", "text")
 
     def deal(batches):
-        for b in batches:
-            keys = [prefix(np.unique(shingle_hashes(t, words)), similarity, *held.value) for t in b.column(1).to_pylist()]
-            node = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+        for node, some in _once(batches):
+            keys = [prefix(np.unique(shingle_hashes(t, words)), similarity, *held.value) for t in some]
+            node = np.repeat(node, [len(k) for k in keys])
             keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             for at in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
 
-    def shared(batches):
-        for key, node in _whole_keys(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy()]):
-            once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node = key[once], node[once]
-            twice = np.append(False, key[1:] == key[:-1])
-            keep = twice | np.append(twice[1:], False)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
-
-    dealt = texts_of(d).mapInArrow(deal, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    dealt = materialize(dealt.mapInArrow(shared, "key long, node long"), "dealt")
+    every = materialize(texts_of(d).mapInArrow(deal, "key long, node long"), "prefixes")
+    several = materialize(every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "several")
+    dealt = materialize(every.join(several.hint("merge"), "key"), "dealt")  # written keys, so adaptive execution can split a hot one
 
     def sets(batches):
-        for b in batches:
-            h = [np.unique(shingle_hashes(t, words)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
+        for node, some in _once(batches):
+            h = [np.unique(shingle_hashes(t, words)) for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
 
     known = texts_of(dealt.select("node").distinct().join(d, "node")).mapInArrow(sets, "node long, size int, sketch binary, shingles binary")
     known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "shingles")]), "shingles")  # the same row twice has equal sets
-    buckets = dealt.join(known.select("node", "size", "sketch").hint("merge"), "node").select("key", "node", "size", "sketch")
-    columns = lambda b: [*[b.column(k).to_numpy() for k in range(2)], b.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+    buckets = in_blocks(dealt).join(known.select("node", "size", "sketch").hint("merge"), "node").select("task", "key", "node", "size", "sketch")
+
+    def columns(b):
+        return [*[b.column(k).to_numpy() for k in range(3)], b.column(3).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+
+    def pairs(a, z, *more, names=("a", "b")):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z)), *more], names=list(names))
 
     def candidates(batches):
-        for key, node, size, sk in _whole_keys(batches, columns):
-            i, j, whole = forest_links(key, node, size, sk, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key[i], mask=whole)], names=["a", "b", "key"])
+        for task, key, node, size, sk in _whole_keys(batches, columns):
+            for i, j in forest_links(task, size, sk, similarity):
+                if len(i):
+                    yield pairs(node[i], node[j], pa.array(key[i]), names=("a", "b", "key"))
 
-    links = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(candidates, "a long, b long, key long")
+    links = buckets.repartition("task").sortWithinPartitions("task", "node").mapInArrow(candidates, "a long, b long, key long")
     links = materialize(links.distinct(), "candidates")
 
     def verify(batches):
@@ -647,22 +618,43 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
         return materialize(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, holds boolean"), "verified")
 
-    tested = verified(links.select("a", "b").distinct())
-    comps = connected_components(tested.where("holds").select("a", "b"))
+    tested = [verified(links.select("a", "b").distinct())]
+    comps = connected_components(tested[0].where("holds").select("a", "b"))
     # A forest's link that does not hold leaves pieces apart that other pairs of its bucket may join: all those are tested.
-    failed = materialize(links.where("key is not null").join(tested.where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
+    failed = materialize(links.join(tested[0].where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
     if not failed.isEmpty():
-        apart = buckets.join(failed.hint("merge"), "key").join(comps, "node", "left").select("key", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
+        apart = in_blocks(dealt.join(failed.hint("merge"), "key", "left_semi")).join(known.select("node", "size", "sketch").hint("merge"), "node")
+        apart = apart.join(comps, "node", "left").select("task", "key", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
 
         def crossing(batches):
-            for key, node, size, sk, comp in _whole_keys(batches, lambda b: [*columns(b), b.column(4).to_numpy()]):
-                for i, j in crossing_links(key, comp, size, sk, similarity):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-
-        more = apart.repartition("key").sortWithinPartitions("key", "node").mapInArrow(crossing, "a long, b long").distinct()
-        more = verified(more.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        comps = connected_components(tested.union(more).where("holds").select("a", "b"))
-    d = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = d.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    d = d.join(lows, "component").select(F.col("digest").alias("digest_"), "component_id")
-    return rows.join(d, rows.digest == d.digest_).select("doc_id", "component_id")
+            for task, _, node, size, sk, comp in _whole_keys(batches, lambda b: [*columns(b), b.column(5).to_numpy()]):
+                for i, j in crossing_links(task, comp, size, sk, similarity):
+                    if len(i):
+                        yield pairs(node[i], node[j])
+
+        more = apart.repartition("task").sortWithinPartitions("task", "node").mapInArrow(crossing, "a long, b long").distinct()
+        tested.append(verified(more.join(tested[0].hint("merge"), ["a", "b"], "left_anti")))
+        both = tested[0].union(tested[1]).where("holds").select("a", "b")
+        discard(comps)
+        comps = connected_components(both)
+    whole = smallest(d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    out = rows.join(whole.withColumnRenamed("digest", "digest_").hint("merge"), F.col("digest") == F.col("digest_"))
+    kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
+    out = materialize(out.select("doc_id", "text_hash", F.col("low.doc_id").alias("component_id"), kept.alias("kept"), "n"), "near-groups")
+    discard(told, d, every, several, dealt, known, links, failed, comps, *tested)
+    return out
+
+
+def smallest(d: DataFrame) -> DataFrame:
+    """d (digest, doc_id, text_hash, component) -> digest, low: the row that stands for the component, null ids last.
+
+    A component of many nodes is summed in parts, and its row goes back to as many parts."""
+    d = d.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    lows = d.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("low"))
+    lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return d.join(lows, ["component", "salt"]).select("digest", "low")
+
+
+def text_hash():
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))

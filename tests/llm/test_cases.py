@@ -27,7 +27,7 @@ def labels(spark):
 
 
 OPERATORS = {
-    "op1": lambda d, y: simhash.near_duplicates(d), "op1 wide": lambda d, y: simhash.near_groups(d), "op2": lambda d, y: sentencepiece_nbest.digest(d, vocabulary_path()), "op2 encode": lambda d, y: sentencepiece_nbest.encode(d, vocabulary_path()),
+    "op1": lambda d, y: simhash.near_duplicates(d), "op1 wide": lambda d, y: simhash.near_groups(d).selectExpr("*", "explode(sequence(1, cast(n as int))) as nth"), "op2": lambda d, y: sentencepiece_nbest.digest(d, vocabulary_path()), "op2 encode": lambda d, y: sentencepiece_nbest.encode(d, vocabulary_path()),
     "op3": lambda d, y: crf_langid.identify(d), "op4": lambda d, y: mixing.mix(d, mixing.quality_of(y)), "op5": lambda d, y: hmm_lm.score(d), "op7": lambda d, y: sharding.shard(d, 4), "op8": lambda d, y: toxicity.classify(d, toxicity.fit(d, y)), "op9": lambda d, y: iblt.fingerprint_edits(d),
 }
 
