@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, word_count
 
-#: Buckets that the keys of one source are dealt into before they are sorted.
-KEY_BUCKETS = 1024
+#: Rows that a range of keys aims at, and cells for each doubling of a key that ranges are cut from.
+RANGE_ROWS, CELLS = 1 << 16, 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -40,17 +40,23 @@ def exponential_key(doc_id: Column, quality: Column, seed: int = 42) -> Column:
     return -F.log(u) / quality
 
 
+def row_hash(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, copies.
+    """docs (doc_id, text, source) -> doc_id, text_hash, source, size, source_size, target, taken, copies.
 
     size: words of the text. Each source gets whole epochs first; the rest of its target is filled in the order of
     exponential keys divided by a quality weight (quality: doc_id, weight > 0; 0.5 where a document has none), the last
     document in part. taken: words that the mix takes, repeats counted, at most `cap` times the size. copies: times that the
-    document appears, a part counting as one.
+    document appears, a part counting as one. text_hash: row_hash() of the text, as rows can share an id.
     Defined results: null or empty text has size 0 and is never taken; null sources are one source; rows with the same id
     have the same key and are taken in order of size; an empty table gives no rows; other columns are ignored.
-    A source's keys are dealt into KEY_BUCKETS ranges, summed and prefix-summed first, so no task sorts a whole source."""
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    Cells of like keys are counted for each source, CELLS for each doubling; ranges of RANGE_ROWS rows and a cell's are cut from
+    the counts and prefix-summed, so the sort of a source is dealt evenly, whatever its weights and however many rows it has."""
+    d = docs.select("doc_id", "source", row_hash(F.col("text")).alias("text_hash"), word_count(F.col("text")).alias("size"))
     if quality is None:
         d = d.withColumn("quality", F.lit(0.5))
     else:
@@ -58,24 +64,31 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[int
         d = d.join(q, d.doc_id == q.quality_id, "left").withColumn("quality", F.coalesce("quality", F.lit(0.5)))
     d = d.withColumn("source_key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
     d = d.withColumn("key", exponential_key(F.col("doc_id"), F.col("quality"), seed))
-    d = d.withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("int"))
-    d = materialize(d.select("doc_id", "source", "source_key", "size", "key", "bucket"), "mix")
+    # log2 spreads keys of all weights: a cell holds keys that differ little
+    cell = F.when(F.col("key") > 0, F.greatest(F.lit(-64.0), F.log2("key")) + 64).otherwise(0.0)
+    d = d.withColumn("cell", F.floor(cell * CELLS).cast("int"))
+    d = materialize(d.select("doc_id", "text_hash", "source", "source_key", "size", "key", "cell"), "mix")
 
     sizes = d.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
-    ranges = d.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranges = ranges.join(targets, "source_key").drop("bucket_size")
-
-    inside = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.drop("source").join(ranges, ["source_key", "bucket"])
+    # cells of a source: at most some hundred thousand, whatever the number of documents
+    cells = d.groupBy("source_key", "cell").agg(F.sum("size").alias("cell_size"), F.count("*").alias("rows"))
+    upto = Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
+    cells = cells.withColumn("range", F.floor(F.coalesce(F.sum("rows").over(upto), F.lit(0)) / RANGE_ROWS))
+    cells = cells.withColumn("before", F.min("before").over(Window.partitionBy("source_key", "range")))
+    cells = cells.join(targets, "source_key").select("source_key", "cell", "range", "before", "source_size", "target")
+    cells = materialize(cells, "mix-ranges")
+
+    inside = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(cells, ["source_key", "cell"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     start = F.col("before") + F.sum("size").over(inside) - F.col("size")
     d = d.withColumn("epochs", epochs).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - start)))
     taken = (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")
     copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(0).alias("copies")
-    return d.select("doc_id", "size", "source_size", "target", taken, copies)
+    return d.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken, copies)
 
 
 def quality_of(labels: DataFrame) -> DataFrame:

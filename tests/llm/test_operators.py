@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quillon.llm import components, crf_langid, hmm_lm, iblt, multi_index, queries, sentencepiece_nbest, simhash, toxicity, wrapper
+from quillon.llm import components, crf_langid, hmm_lm, iblt, mixing, multi_index, queries, sentencepiece_nbest, simhash, toxicity, wrapper
 from quillon.llm.common import table, vocabulary_path
 
 from ..conftest import DATA, rows
@@ -283,6 +283,26 @@ def test_op4(spark, duck):
     assert (abs(by.taken - by.target) <= 1).all()
 
 
+def test_mix_of_repeated_rows(spark, tmp_path):
+    text = lambda k, n: " ".join(f"w{k}" for _ in range(n))
+    rows = [(k, text(k, 20), "en", "a", 1) for k in range(40)] + [(7, text(99, 5), "en", "a", 1)] + [(3, text(3, 20), "en", "a", 1)] * 3 + [(3, text(3, 20), "en", "a", 2), (None, text(5, 9), None, None, None), (50, None, "en", "b", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = Counter(map(tuple, corpus_pipeline.mix_sources(spark, d, str(tmp_path)).collect()))
+    want: dict = Counter()
+    for r in mixing.mix(d, mixing.quality_of(table(spark, str(tmp_path), "labels"))).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    seen: dict = Counter()
+    for r, n in got.items():
+        seen[r[0], len((r[1] or "").split())] += n
+    assert seen == Counter({k: n for k, n in want.items() if n}) and max(got.values()) <= 9 and got.keys() <= set(rows)
+
+
+def test_op4_ranges(spark, duck, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    assert rows(queries.op4_mixing(spark, SF).toPandas()) == rows(duck.execute(queries.oracle_sql()["op4_mixing"]).df())
+
+
 def test_op5(spark, texts):
     m = hmm_lm.Hmm(*(lambda r: (r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(5), 3).T))(np.random.default_rng(0)))
     some = [np.array(x) for x in ([1, 2, 0], [4, 0], [0], [1, 1, 3, 2, 0])]
