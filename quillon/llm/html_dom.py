@@ -6,7 +6,9 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|svg|math|object|canvas|select|title"
+#: Levels of elements that a tree keeps.
+DEPTH = 150
+RAW = "script|style|noscript|template|iframe|textarea|svg|object|canvas|select|title"
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An element in the first set ends when one of the second begins, up to an element of the third.
 _ENDS = [
@@ -24,10 +26,11 @@ _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-hidden|hidden|style)\s*=\s
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "items", "slot")
+    __slots__ = ("tag", "names", "parent", "items", "slot", "depth")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent, self.items, self.slot = tag, names, parent, [], None
+        self.depth = parent.depth + 1 if parent is not None else 0
 
     def children(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
@@ -44,9 +47,11 @@ def decode(text: str) -> str:
 
 
 def parse(source: str) -> Node:
-    """The tree of elements; items of a node are nodes and text, in order. Raw elements and comments are left out."""
+    """The tree of elements; items of a node are nodes and text, in order. Raw elements and comments are left out.
+
+    Elements nested deeper than DEPTH are put side by side, with their text in order."""
     root = top = Node("#root", "", None)
-    at = 0
+    at, flat = 0, 0
     for m in _TOKEN.finditer(source):
         if m.start() > at:
             top.items.append(decode(source[at : m.start()]))
@@ -55,6 +60,11 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if m["end"] and flat and tag not in VOID:
+            flat -= 1
+            if tag in BLOCK:
+                top.items.append(Node("br", "", top))
+            continue
         if m["end"]:
             node = top
             while node is not None and node.tag != tag:
@@ -81,7 +91,10 @@ def parse(source: str) -> Node:
         node = Node(tag, names, top)
         top.items.append(node)
         if tag not in VOID and not attrs.endswith("/"):
-            top = node
+            if top.depth < DEPTH:
+                top = node
+            else:
+                flat += 1
     if at < len(source):
         top.items.append(decode(source[at:]))
     return root

@@ -12,44 +12,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .html_dom import BLOCK, Node, parse
 
 #: Pages of a host that one wrapper is induced from; a host of twice as many gets several wrappers.
 PAGES = 500
-#: A host with more than this share of all pages, and more than PAGES, is dealt among several tasks: at most 10,000 hosts.
-HEAVY = 1e-4
+#: Pages with different articles that must have one text in a slot before it counts as the template's, and their share.
+REPEATS, SHARE = 3, 0.6
+#: Share of the varying text that an element needs for its role to decide, and that a slot needs to be gone down into.
+ROLE, HEAVY = 0.5, 0.8
+#: Elements that are no part of an article wherever they stand.
 _OUT_TAGS = frozenset("head nav footer aside form button dialog menu label fieldset".split())
+#: Whole class names, ids and roles that settle what alignment leaves open: small varying blocks among the article's.
 _OUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead topbar footer sidebar aside rail widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply "
-    "respond form search pagination pager toolbar contentinfo complementary search-form hidden legal copyright toc skip-link tags paywall".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation breadcrumb breadcrumbs "
+    "masthead topbar sidebar widget cookie cookies cookie-notice consent gdpr notice popup modal newsletter subscribe share sharing social related "
+    "related-posts recommended recommendations comment comments commentlist disqus replies pagination pager toolbar contentinfo complementary hidden".split()
 )
 _MAIN_NAMES = frozenset("main articlebody article article-body article-content post post-content post-body entry entry-content content main-content story story-body".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def is_boilerplate(node: Node) -> bool:
-    """Is the node a menu, header, footer, sidebar, notice, advert, form or comment by its tag or names?"""
-    if node.tag in _OUT_TAGS:
-        return True
-    if node.tag == "header":  # the heading of an article is its own
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None or bool(_marks(node.names) - {"header"})
-    return bool(node.names) and node.tag not in ("html", "body") and bool(_marks(node.names))
+def is_out(node: Node) -> bool:
+    """Is the node by its tag no part of an article? A header is the heading of an article only inside one."""
+    if node.tag != "header":
+        return node.tag in _OUT_TAGS or "hidden" in node.names.split()
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main", "section", "div"):
+        up = up.parent
+    return up is None
 
 
-def _marks(names: str) -> set[str]:
-    found = set()
-    for name in names.split():
-        parts = re.split(r"[-_]+", name)
-        if name in _MAIN_NAMES:
-            continue
-        # the first or last part of a name says what the block is, as in "ad-slot" or "page-footer"
-        found |= {p for p in (name, parts[0], parts[-1], parts[0].rstrip("s0123456789"), parts[-1].rstrip("s0123456789")) if p in _OUT_NAMES}
-    return found
+def has(node: Node, tag: str) -> bool:
+    return any(n.tag == tag or has(n, tag) for n in node.children())
+
+
+def label(node: Node) -> str:
+    """Tag and names; numbers in names are a page's own."""
+    return f"{node.tag} {re.sub('[0-9]+', '#', node.names)}"
 
 
 def role(tag: str, names: str) -> int:
@@ -69,9 +69,9 @@ class Slot:
 def folded(nodes: list[Node]) -> list[tuple[str, list[Node], list]]:
     """(label, nodes, what is below) of runs of neighbours with one label: repeated items are one slot."""
     out = []
-    for label, run in groupby((n for n in nodes if n.tag not in ("br", "hr", "img", "meta", "link", "wbr")), key=lambda n: f"{n.tag} {n.names}"):
+    for name, run in groupby((n for n in nodes if n.tag not in ("br", "hr", "img", "meta", "link", "wbr")), key=label):
         run = list(run)
-        out.append((label, run, folded([c for n in run for c in n.children()])))
+        out.append((name, run, folded([c for n in run for c in n.children()])))
     return out
 
 
@@ -104,156 +104,228 @@ def matching(page: list, slots: list[Slot], memo: dict) -> tuple[int, list[tuple
     return best[n][m], pairs[::-1]
 
 
+def own_text(nodes: list[Node]) -> str:
+    return " ".join(" ".join(x for n in nodes for x in n.items if isinstance(x, str)).split())
+
+
 class Wrapper:
     """The template of a group of pages, grown page by page."""
 
     def __init__(self):
         self.root = Slot("#root")
 
-    def add(self, tree: Node, count: bool = True) -> None:
-        """Align a page, add what the template lacks, and note the texts if they count."""
-        self._add(folded(tree.children()), self.root, {}, False, count)
+    def add(self, tree: Node) -> None:
+        """Align a page and add what the template lacks."""
+        self._add(folded(tree.children()), self.root, {}, False)
 
-    def _add(self, page, slot, memo, out, count):
+    def _add(self, page, slot, memo, out):
         _, pairs = matching(page, slot.below, memo)
         to = dict(pairs)
         at = 0
-        for i, (label, nodes, below) in enumerate(page):
+        for i, (name, nodes, below) in enumerate(page):
             if i in to:
                 child = slot.below[to[i] + at]
             else:
-                child = Slot(label)
+                child = Slot(name)
                 left = max((j for k, j in pairs if k < i), default=-1) + at + 1
                 slot.below.insert(left, child)
                 at += 1
-            child.pages += count
-            child.out = out or is_boilerplate(nodes[0])
-            own = " ".join(" ".join(x for n in nodes for x in n.items if isinstance(x, str)).split())
-            child.size += len(own)
-            if count and (len(child.texts) < 64 or own in child.texts):  # enough to tell constant from varying
-                child.texts[own] += 1
+            child.out = out or is_out(nodes[0])
             for n in nodes:
                 n.slot = child
-            self._add(below, child, memo, child.out, count)
+            self._add(below, child, memo, child.out)
+
+    def note(self, tree: Node) -> None:
+        """Note the texts of an aligned page; a page with the same article as another says nothing about the template."""
+        by: dict[int, tuple[Slot, list[Node]]] = {}
+
+        def walk(node):
+            for n in node.children():
+                if n.slot is not None:  # line breaks and images have none
+                    by.setdefault(id(n.slot), (n.slot, []))[1].append(n)
+                walk(n)
+
+        walk(tree)
+        for slot, nodes in by.values():
+            text = own_text(nodes)
+            slot.pages += 1
+            slot.size += len(text)
+            slot.texts[text] += 1
 
     def constant(self, slot: Slot) -> bool:
-        """Do at least three different pages, and most of those with this slot, have one text there?"""
-        return slot.pages > 2 and slot.texts.most_common(1)[0][1] > max(1, 0.6 * slot.pages)
+        """Have REPEATS different pages, and a share SHARE of those with this slot, one text there?"""
+        if not slot.pages:
+            return False
+        return slot.texts.most_common(1)[0][1] >= max(REPEATS, SHARE * slot.pages)
+
+    def weight(self, slot: Slot) -> int:
+        """Varying text in a slot and below."""
+        return 0 if slot.out else (0 if self.constant(slot) else slot.size) + sum(map(self.weight, slot.below))
 
-    def content(self) -> set[int]:
-        """Slots that hold the article: explicit ones, else the slot with the largest share of varying text below it."""
-        found: list[tuple[int, int, Slot]] = []
+    def content(self) -> Slot:
+        """The slot of the article: down from the root while one slot below has most of the varying text.
 
-        def explicit(slot):
+        Tags and names decide between what is then possible: the best role among slots with a share ROLE of the varying text."""
+        whole = self.weight(self.root)
+        found: list[tuple[int, int, int, Slot]] = []
+
+        def named(slot):
             if slot.out:
                 return
             tag, _, names = slot.label.partition(" ")
-            rank = role(tag, names)
-            if rank < 9:
-                found.append((rank, -weight(slot), slot))
+            if role(tag, names) < 9 and (w := self.weight(slot)) >= ROLE * whole:
+                found.append((role(tag, names), -w, len(found), slot))
             for s in slot.below:
-                explicit(s)
-
-        def weight(slot):
-            return 0 if slot.out else (0 if self.constant(slot) else slot.size) + sum(map(weight, slot.below))
+                named(s)
 
-        explicit(self.root)
+        named(self.root)
         if found:
-            best = min(f[0] for f in found)
-            return {id(f[2]) for f in found if f[0] == best}
+            return min(found)[3]
         slot = self.root
-        while True:  # go down while one child has nearly all the varying text
-            all_of = weight(slot)
-            heavy = max(slot.below, key=weight, default=None)
-            if heavy is None or not all_of or weight(heavy) < 0.8 * all_of or heavy.label.split(" ")[0] in ("p", *_HEADINGS):
-                return {id(slot)}
+        while True:
+            heavy = max(slot.below, key=self.weight, default=None)
+            if heavy is None or not whole or self.weight(heavy) < HEAVY * self.weight(slot) or heavy.label.split(" ")[0] in ("p", *_HEADINGS):
+                return slot
             slot = heavy
 
-    def extract(self, tree: Node, content: set[int]) -> str:
-        """Blocks of the content slots of an aligned page, joined by newlines."""
+    def extract(self, tree: Node, content: Slot) -> str:
+        """Blocks of the content slot of an aligned page, joined by newlines.
+
+        Slots whose text the template repeats are left out, but for headings, unless they make up most of the page's content: then the page is a
+        copy of others, and its text is its article all the same."""
+        inside = self._nodes(tree, content) or self._own(tree) or [tree]
+        dropped = [n for top in inside for n in self._template(top)]
+        length = lambda nodes: sum(len(own_text([n])) + length(n.children()) for n in nodes)
+        gone = {id(n) for n in dropped if n.tag not in _HEADINGS} if 2 * length(dropped) < length(inside) else set()
         blocks: list[list[str]] = [[]]
-        explicit, own = self._has(tree, content), set()
-        if not explicit:  # a page unlike its host's others is read by the roles of its own nodes
-            own = self._own(tree)
-            explicit = bool(own)
 
-        def walk(node, inside):
+        def walk(node):
             for x in node.items:
                 if isinstance(x, str):
-                    if inside:
-                        blocks[-1].append(x)
+                    blocks[-1].append(x)
                     continue
                 block = x.tag in BLOCK
                 if block:
                     blocks.append([])
-                if not is_boilerplate(x) and not (x.tag != "article" and self.template_only(x)):
-                    walk(x, inside or id(x) in own or x.slot is not None and id(x.slot) in content)
+                if not (is_out(x) or id(x) in gone or self.named_out(x)):
+                    walk(x)
                 if block:
                     blocks.append([])
 
-        walk(tree, id(self.root) in content or not explicit)
+        for top in inside:
+            walk(top)
+            blocks.append([])
         texts = (" ".join("".join(b).split()) for b in blocks)
         return "\n".join(t for t in texts if t)
 
-    def _has(self, node, content) -> bool:
-        return any(n.slot is not None and id(n.slot) in content or self._has(n, content) for n in node.children())
+    def named_out(self, node: Node) -> bool:
+        """Is a block of small weight called something that is no part of an article? Never a heading, nor anything in a sentence."""
+        if node.tag not in BLOCK or node.tag in ("p", "pre", "body", "html", *_HEADINGS) or not set(node.names.split()) & _OUT_NAMES or has(node, "h1"):
+            return False
+        return node.slot is None or 2 * self.weight(node.slot) < self.weight(self.root)
+
+    def _nodes(self, tree: Node, slot: Slot) -> list[Node]:
+        """The page's nodes of a slot."""
+        if slot is self.root:
+            return [tree]
+        return [x for n in tree.children() for x in ([n] if n.slot is slot else self._nodes(n, slot))]
 
-    def _own(self, tree: Node) -> set[int]:
-        """The page's own nodes of the best explicit role, by the rule of content()."""
-        found: list[tuple[int, int]] = []
+    def _own(self, tree: Node) -> list[Node]:
+        """Nodes of the best role on a page that is unlike its host's others."""
+        found: list[tuple[int, Node]] = []
 
-        def explicit(node):
+        def named(node):
             for x in node.children():
-                if not is_boilerplate(x):
-                    found.append((role(x.tag, x.names), id(x)))
-                    explicit(x)
+                if not is_out(x):
+                    if role(x.tag, x.names) < 9:
+                        found.append((role(x.tag, x.names), x))
+                    named(x)
 
-        explicit(tree)
+        named(tree)
         best = min((f[0] for f in found), default=9)
-        return {i for rank, i in found if rank == best} if best < 9 else set()
+        nodes, out = [x for rank, x in found if rank == best], []
+        for x in nodes:
+            up = x.parent
+            while up is not None and not any(up is y for y in nodes):
+                up = up.parent
+            if up is None:
+                out.append(x)
+        return out
+
+    def _template(self, node: Node) -> list[Node]:
+        """The topmost nodes below with a text that the template repeats and nothing that varies."""
+        out = []
+        for x in node.children():
+            if x.slot is not None and x.tag in BLOCK and not self._varies(x.slot) and self._repeats(x.slot):
+                out.append(x)
+            else:
+                out += self._template(x)
+        return out
 
-    def template_only(self, node: Node) -> bool:
-        """Is the node, outside an explicit article, a slot with the same text on most pages?"""
-        if node.slot is None or node.slot.size == 0 or not self.constant(node.slot):
-            return False
-        up = node
-        while up is not None:
-            if up.tag in ("article", "main") or set(up.names.split()) & _MAIN_NAMES:
-                return False
-            up = up.parent
-        return not any(self._varies(s) for s in node.slot.below)
-
-    def _varies(self, slot) -> bool:
+    def _varies(self, slot: Slot) -> bool:
         return slot.size > 0 and not self.constant(slot) or any(map(self._varies, slot.below))
 
+    def _repeats(self, slot: Slot) -> bool:
+        return slot.size > 0 and self.constant(slot) or any(map(self._repeats, slot.below))
+
 
 def extract_group(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host, by the wrapper that all of them induce."""
+    """Main texts of pages of one host, by the wrapper that all of them induce.
+
+    Pages are aligned one by one. From the aligned pages' varying text comes a first content slot; pages whose text there is the
+    same are copies, of which one counts when the template's constant texts are told from those that vary."""
     trees = [parse(p or "") for p in pages]
     wrapper = Wrapper()
+    for t in trees:
+        wrapper.add(t)
     seen: set[str | None] = set()
     for p, t in zip(pages, trees, strict=True):
-        wrapper.add(t, count=p not in seen)  # copies of a page say nothing about what its host repeats
-        seen.add(p)
+        if p not in seen:
+            wrapper.note(t)
+            seen.add(p)
+    content, articles, once = wrapper.content(), set(), []
+    for t in trees:
+        text = "\n".join(own_text([n]) for top in wrapper._nodes(t, content) for n in _all(top))
+        if text not in articles:
+            articles.add(text)
+            once.append(t)
+    _clear(wrapper.root)
+    for t in once:
+        wrapper.note(t)
     content = wrapper.content()
     return [wrapper.extract(t, content) for t in trees]
 
 
+def _all(node: Node):
+    yield node
+    for n in node.children():
+        yield from _all(n)
+
+
+def _clear(slot: Slot) -> None:
+    slot.texts, slot.pages, slot.size = Counter(), 0, 0
+    for s in slot.below:
+        _clear(s)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars.
 
-    Pages of a host are aligned by simple tree matching. Slots that menus, headers, footers, sidebars, notices, adverts, forms
-    or comments occupy are out; the article is the explicit article or main slot, or else where most varying text lies, less
-    slots whose text stays the same. Within an explicit article nothing else is left out, so copies of an article on one host
-    keep their text. Each wrapper comes from PAGES to 2 * PAGES pages of a host, or all; heavy hosts are dealt by a hash of the page.
+    Pages of a host are aligned by simple tree matching into a template. The content slot holds most of the text that varies
+    between pages; of several that could, tag and names choose. Inside it, blocks whose text is the same on most pages with
+    different articles are the template's and go; so do elements that are no part of an article (menus, footers, asides,
+    forms), and small blocks named as adverts, notices or comments, which vary from page to page as an article does. A page
+    most of whose content repeats is a copy and keeps its text. Each wrapper comes from PAGES to 2 * PAGES pages of a host, or
+    all; larger hosts are dealt by a hash of the page.
     Defined results: null or empty html gives empty text; pages with a null url or without a host are one host; repeated
-    rows give equal rows; an empty table gives no rows; other columns are ignored. A line break ends a block."""
+    rows give equal rows; an empty table gives no rows; other columns are ignored. A line break ends a block, as it does on
+    the screen."""
     d = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     d = d.withColumn("host", host)
-    least = max(PAGES, int(pages.count() * HEAVY))
-    groups = d.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > least).select("host", F.ceil(F.col("n") / PAGES).cast("int").alias("groups"))
-    d = d.join(F.broadcast(groups), "host", "left")  # 1 / HEAVY rows at most
+    groups = d.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > PAGES).select("host", F.ceil(F.col("n") / PAGES).cast("int").alias("groups"))
+    groups = materialize(groups, "hosts")  # written, so its size is known when the join is planned: no hint to broadcast
+    d = d.join(groups, "host", "left")
     d = d.withColumn("group", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))).cast("int"))
 
     def packed(batches):

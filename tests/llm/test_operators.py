@@ -402,9 +402,9 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 
 
 def test_op10():
-    body = "<article><header><h1>Title {0}</h1></header><p>One &amp; two <b>three {0}<p>four\n five</p><table><tr><td>c1<td>c2</table><div class=comment>nice {0}</div></article>"
+    body = "<article><header><h1>Title {0}</h1></header><p>One &amp; two <b>three {0}<p>four\n five</p><table><tr><td>c{0}<td>c2</table><div class=comment>nice {0}</div></article>"
     got = wrapper.extract_group([PAGE.format(k, body.format(k)) for k in range(6)])
-    assert got == [f"Title {k}\nOne & two three {k}\nfour five\nc1\nc2" for k in range(6)]
+    assert got == [f"Title {k}\nOne & two three {k}\nfour five\nc{k}\nc2" for k in range(6)]
     body = "<div class=wrap><p>All pages have this line</p><div class=text><h1>Head {0}</h1><p>Story {0} with words of its own {0}</p><p>and more {0} of them</p></div></div>"
     got = wrapper.extract_group([PAGE.format(k, body.format(k)) for k in range(6)])
     assert got == [f"Head {k}\nStory {k} with words of its own {k}\nand more {k} of them" for k in range(6)]
@@ -419,6 +419,57 @@ def test_op10_pages_with_names_of_their_own():
     assert got == [*[f"Story {k} here" for k in range(5)], "About us"]
 
 
+def test_op10_names_lose_nothing_of_an_article():
+    for html, want in [
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>text</p></article>', "Title\ntext"),
+        ('<article><pre>x = 1 <span class="comment"># why</span></pre></article>', "x = 1 # why"),
+        ('<article><p>a</p><div class="share-price">12.5</div></article>', "a\n12.5"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "so x=1 holds"),
+    ]:
+        assert wrapper.extract_group([html]) == [want]
+
+
+def test_op10_deep_pages():
+    deep = "<div>" * 5000 + "<p>deep</p> text" + "</div>" * 5000
+    assert wrapper.extract_group([f"<article>a{deep}<p>after</p></article><footer>f</footer>"]) == ["a\ndeep\ntext\nafter"]
+
+
+def test_op10_by_alignment(monkeypatch):
+    """What only other pages of the host can tell: where the article is, and what the template repeats inside it."""
+    body = "<body><div class=a><p>Menu of {0}</p></div><div class=b><h1>Head {0}</h1><div class=k>Sign up for more</div><p>{1}</p></div><div class=c>By {0}</div></body>"
+    pages = [body.format(k, "Story {0} has words of its own, in number {0}. ".format(k) * (1 + k % 3 * 4)) for k in range(9)]
+    want = ["Head {0}\n".format(k) + " ".join(["Story {0} has words of its own, in number {0}.".format(k)] * (1 + k % 3 * 4)) for k in range(9)]
+    assert wrapper.extract_group(pages) == want
+    monkeypatch.setattr(wrapper, "matching", lambda page, slots, memo: (0, []))
+    assert sum(a == b for a, b in zip(wrapper.extract_group(pages), want, strict=True)) == 0
+
+
+def test_op10_copies_of_an_article_keep_their_text():
+    page = "<body><nav><a>m {0}</a></nav><article><h1>One</h1><p>The story</p><div>Second part</div></article><footer>{0}</footer></body>"
+    assert wrapper.extract_group([page.format(k) for k in range(8)]) == ["One\nThe story\nSecond part"] * 8
+    near = page.replace("The story", "The story, {0}")
+    assert wrapper.extract_group([near.format(k) for k in range(8)]) == [f"One\nThe story, {k}\nSecond part" for k in range(8)]
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_op10_pages_table(spark, tag):
+    """The pages table against the text of its articles as plain rules read it, also where the article's element says nothing."""
+    import html
+    import re
+
+    pages = table(spark, f"{DATA}/sf0.01", "pages").toPandas()
+    pages["html"] = pages.html.str.replace("<article>", f"<{tag}>").str.replace("</article>", f"</{tag}>")
+
+    def plain(h):
+        body = h[h.index(f"<{tag}>") : h.rindex(f"</{tag}>")] if tag != "div" else h[h.index("</div><div>") + 6 : h.rindex("</div><footer>")]
+        parts = re.split(r"<(?:p|/p|br|h1|/h1|div|/div|section|article|ul|/ul|li|/li)\b[^>]*>", body)
+        return "\n".join(x for x in (" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in parts) if x)
+
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(pages)).collect()}
+    wrong = [i for i, h in zip(pages.page_id, pages.html, strict=True) if got[i] != plain(h)]
+    assert len(got) == len(pages) and len(wrong) == 0
+
+
 def test_pipeline(spark, texts, duck):
     docs, kept = table(spark, SF, "documents"), []
     model = toxicity.fit(docs, table(spark, SF, "labels"))
