@@ -6,13 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket, materialize
 
 STATES = 8
-#: Words with an emission of their own for each state; the others share one for each bucket of their last two bytes.
+#: Size of the model: words with an emission of their own for each state; the others share one for each bucket of their last
+#: two bytes, times their exact share of it.
 VOCABULARY, BUCKETS = 50_000, 256
 #: Rarer words in training text share the bucket's emission, so that buckets have something to go by for unseen words.
 LEAST_COUNT = 5
@@ -167,19 +168,18 @@ class Counts:
 
 
 def vocabulary(train: DataFrame) -> list[bytes]:
-    """The VOCABULARY words most counted in all training text, of those most counted in some partition."""
+    """The VOCABULARY words most counted in all training text, by exact counts; of equal counts the first in order."""
 
     def count(batches):
         seen: Counter = Counter()
 
         def told():
-            top = seen.most_common(VOCABULARY + VOCABULARY // 4)
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(tokens(text))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:  # the rest of the partition counts on; the sums meet by word
                     yield told()
                     seen.clear()
         yield told()
@@ -202,11 +202,7 @@ def train(docs: DataFrame) -> tuple[Vocab, Hmm, np.ndarray]:
     n = docs.count()
     spread = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1_000_000)) / 1_000_000
     sample = docs.where(spread < min(1.0, (START_DOCS + 20) / max(1, n)) * 1.5).select("text")
-    texts = []
-    for r in sample.toLocalIterator():
-        if len(texts) == START_DOCS:
-            break
-        texts.append(r["text"])
+    texts = [r["text"] for r in sample.orderBy(F.xxhash64("text", F.lit(2)), "text").limit(START_DOCS).collect()]  # the same however rows are dealt
     _, ids = _ids(texts, vocab)
     model = Hmm.random(np.bincount(np.concatenate(ids), minlength=classes) + 0.01 if ids else np.ones(classes))
     for _ in range(START_ROUNDS if ids else 0):
@@ -249,8 +245,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     under the hidden Markov model, exact by the scaled forward recursion. In a state a vocabulary word has its own emission;
     any other word w has that of its bucket times (c+0.1)/(C+0.1*(V+1)), where c counts w, C the tokens and V the words of the bucket
     in training; an unseen word has c = 0, so each bucket keeps a share for words it has not seen.
-    Counts of words outside the vocabulary are exact too: (document, word, count) rows meet by word in one exchange, and
-    their logarithms are summed by document. No such word holds much of the rows, as those that do are in the vocabulary.
+    Counts of words outside the vocabulary are exact too: (document, word, count) rows are summed by word, partly before they
+    are exchanged, and joined with the sums; their logarithms are summed by document.
     Defined results: null and empty texts are one end token; a null id is in fold 0, so held out; rows are scored singly, also
     if ids repeat; with nothing to learn from, base_score is 0; an empty table gives no rows; other columns are ignored."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (id_bucket(F.col("doc_id"), folds) == 0).alias("held_out"))
@@ -293,19 +289,14 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     schema = "row long, word binary, n long, held_out boolean, bucket int, doc_id long, known long, base double, hmm double, hist array<int>"
     got = materialize(d.select(F.monotonically_increasing_id().alias("row"), "text", "held_out", "doc_id").mapInArrow(run, schema), "lm")
-    by_word = Window.partitionBy("word")
     w = got.where("word is not null").select("row", "word", "n", "held_out", "bucket")
-    w = w.withColumn("c", F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).over(by_word)).withColumn("one", F.row_number().over(by_word.orderBy("row")) == 1)
-    # One row for the document, and one for the bucket where a word comes first: both are summed by one key.
-    rows = F.array(
-        F.struct(F.col("row").alias("key"), (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), F.lit(0).cast("long").alias("words")),
-        F.struct((-1 - F.col("bucket")).cast("long").alias("key"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), F.lit(1).cast("long").alias("words")),
-    )
-    w = w.select(F.explode(F.when(F.col("one") & (F.col("c") > 0), rows).otherwise(F.slice(rows, 1, 1))).alias("x")).select("x.*")
-    sums = materialize(w.groupBy("key").agg(F.sum("base").alias("more"), F.sum("known").alias("also"), F.sum("words").alias("words")), "lm-sums")
+    of = w.groupBy("word").agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n"))), F.lit(0)).alias("c"), F.min("bucket").alias("bucket"))
+    of = materialize(of, "lm-words")  # written, so adaptive execution can split the rows of a frequent word
+    w = w.select("row", "word", "n").join(of.select("word", "c").hint("merge"), "word")
+    sums = w.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
     distinct = np.zeros(BUCKETS)
-    for r in sums.where("key < 0").select("key", "words").collect():  # a row for each bucket
-        distinct[-1 - r["key"]] = r["words"]
+    for r in of.where("c > 0").groupBy("bucket").count().collect():  # a row for each bucket
+        distinct[r["bucket"]] = r["count"]
     total = float(counted.sum())
     words = float((counted[:rare] > 0).sum() + distinct.sum())
     share = np.log10(counted[rare:] + 0.1 * (distinct + 1))
@@ -314,7 +305,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     lost = F.aggregate(F.sequence(F.lit(1), F.size("hist"), F.lit(2)), F.lit(0.0), lambda a, i: a + F.element_at("hist", i + 1) * F.element_at(logs, F.element_at("hist", i) + 1))
     lost = F.when(F.size("hist") > 0, lost).otherwise(0.0)
     out = got.where("word is null").select("row", "doc_id", "held_out", "n", "known", "base", "hmm", "hist")
-    out = out.join(sums.where("key >= 0").select(F.col("key").alias("row"), "more", "also"), "row", "left")
+    out = out.join(sums, "row", "left")
     more, also = F.coalesce("more", F.lit(0.0)), F.coalesce("also", F.lit(0))
     return out.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + also).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
