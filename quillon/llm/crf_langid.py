@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import Buffer, chunks
@@ -219,11 +219,12 @@ def fit_sample(docs: DataFrame, folds: int = 5) -> dict[str, list[bytes]]:
     if not counts:
         return {}
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * FIT_DOCS / n + 20 / n)))])
-    d = d.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    h = F.xxhash64("text", F.lit(1))
+    d = d.where(F.pmod(h, F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    d = d.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text")).alias("at")).where(F.col("at") <= FIT_DOCS)
     out: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for b in d.select("lang", "text").toLocalIterator():
-        if len(out[b["lang"]]) < FIT_DOCS:
-            out[b["lang"]] += letters(pa.array([b["text"]], pa.string()))
+    for r in d.orderBy("lang", "at").toLocalIterator():  # the same however rows are dealt
+        out[r["lang"]] += letters(pa.array([r["text"]], pa.string()))
     return {k: v for k, v in out.items() if v}
 
 
