@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Buffer, chunks
-from .common import mix64
+from .common import materialize, mix64
 
 #: Cells of the sketch that the fingerprint shows; larger sketches are made when subtracting does not peel.
 CELLS = 12
 #: A paragraph is cut after words whose hash is 0 modulo this, so edits change few pieces however long its lines are.
 PIECE = 4
-#: Bytes of text that one range of ids aims at, and the largest number of ranges.
-RANGE_BYTES, MAX_RANGES = 24 << 20, 20_000
+#: Bytes of text that one range of ids aims at.
+RANGE_BYTES = 24 << 20
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -173,67 +173,61 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     return out
 
 
+_COLUMNS = [("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"), ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double")]
+_SCHEMA = "doc_id long, " + ", ".join(f"{k} {t}" for k, _, t in _COLUMNS)
+
+
+def _told(ids: list, texts: list, following: list) -> list[pa.Array]:
+    got = compare(texts, following)
+    return [pa.array(ids, pa.int64()), *(pa.array(got[k], t) for k, t, _ in _COLUMNS)]
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The following document is the next in descending doc_id; after the last comes the first. Ranges of ids are sorted each
-    by itself; the first row of a range is also sent to the range before it. Likeness is the share of common paragraph
-    pieces, from subtracting and peeling sketches.
-    Defined results: null text is empty; null ids come last; rows with one id follow in order of a hash of the text; a single
-    row follows itself; an empty table gives no rows; other columns are ignored. Texts without words have an empty sketch,
-    likeness 1 to each other and 0 to others."""
+    The following document is the next in descending doc_id; after the last comes the first. Rows are dealt into ranges of ids
+    by one exchange, and each range is sorted and read as a stream. Its first text and its last row, which the next range's
+    first text follows, are told apart and meet afterwards. Likeness is the share of common paragraph pieces, from subtracting
+    and peeling sketches. A fingerprint shows 16 bits of a cell's count and 32 of its check sum; the likeness comes from whole ones.
+    Defined results: null text is empty; null ids come last; rows with one id, and those without, follow in order of a hash of
+    the text; a single row follows itself; an empty table gives no rows; other columns are ignored. Texts without words have
+    an empty sketch, likeness 1 to each other and 0 to others."""
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_RANGES, max(1, size // RANGE_BYTES + 1)))
-    cuts = np.array(sorted(set(d.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else [], np.float64)
-
-    @F.pandas_udf("int")
-    def part_of(i):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(cuts, i.fillna(-np.inf).to_numpy(float), side="right").astype(np.int32))
-
-    d = d.withColumn("part", part_of("doc_id"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
-    tops = {r["part"]: r["top"] for r in d.groupBy("part").agg(F.max(order).alias("top")).collect()}  # a row for each range
-    parts = sorted(tops)
-    goes = [(p, q) for p, q in zip(parts, parts[1:] + parts[:1], strict=True)]  # the top row of p is wanted at the end of q
-    if parts:
-        wanted = d.sparkSession.createDataFrame([(p, q, tops[p]["doc_id"], tops[p]["h"]) for p, q in goes], "part int, to int, top_id long, top_h long")
-        own = d.withColumn("guest", F.lit(0))
-        join = (d["part"] == wanted["part"]) & d["doc_id"].eqNullSafe(wanted["top_id"]) & (d["h"] == wanted["top_h"])
-        guests = d.join(F.broadcast(wanted), join).select("doc_id", "text", "h", F.col("to").alias("part"), F.lit(1).alias("guest"))  # at most MAX_RANGES rows
-        d = own.unionByName(guests)
-    else:
-        d = d.withColumn("guest", F.lit(0))
-    d = d.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
-
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-
-    def told(rows, last):
-        """rows: (part, guest, id, text), one more than is told unless `last`."""
-        ids, texts, following = [], [], []
-        for k, (part, guest, i, text) in enumerate(rows):
-            if guest or k + 1 == len(rows) and not last:
-                continue
-            after = rows[k + 1] if k + 1 < len(rows) and rows[k + 1][0] == part else None
-            if after is None:
-                raise RuntimeError(f"range {part} has no following row")
-            ids.append(i), texts.append(text), following.append(after[3])
-        got = compare(texts, following)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(got[k], t) for k, t in zip(names, types, strict=True))], names=["doc_id", *names])
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc()]
+    d = d.repartitionByRange(max(1, size // RANGE_BYTES + 1), *order).sortWithinPartitions(*order)
+    names = ["doc_id", *(k for k, _, _ in _COLUMNS), "part", "head", "tail"]
 
     def run(batches):
-        rows: list = []
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), None  # the last row has not been told: (id, text)
         for b in batches:
             for a in range(0, b.num_rows, 250):
-                rows += zip(*(b.column(k).slice(a, 250).to_pylist() for k in range(4)), strict=True)
-                if len(rows) > 1:
-                    yield told(rows, False)
-                    rows = rows[-1:]
-        if rows:
-            yield told(rows, True)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return d.select("part", "guest", "doc_id", "text").mapInArrow(run, schema)
+                ids, texts = (b.column(k).slice(a, 250).to_pylist() for k in range(2))
+                if before is None:
+                    yield edge(part, None, texts[0], None)
+                else:
+                    ids, texts = [before[0], *ids], [before[1], *texts]
+                before = ids[-1], texts[-1]
+                if len(ids) > 1:
+                    none = pa.nulls(len(ids) - 1)
+                    yield pa.RecordBatch.from_arrays([*_told(ids[:-1], texts[:-1], texts[1:]), none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.string())], names=names)
+        if before is not None:
+            yield edge(part, before[0], None, before[1])
+
+    def edge(part, i, head, tail):
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.nulls(1, t) for _, t, _ in _COLUMNS), pa.array([part], pa.int32()), pa.array([head], pa.string()), pa.array([tail], pa.string())], names=names)
+
+    found = materialize(d.select("doc_id", "text").mapInArrow(run, _SCHEMA + ", part int, head string, tail string"), "edits")
+    # Two rows for each range: the last row of a range is followed by the first text of the next range that has rows.
+    parts = sorted(r["part"] for r in found.where("head is not null").select("part").collect())
+    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, to int")
+    heads = found.where("head is not null").select(F.col("part").alias("to"), F.col("head").alias("following"))
+    ends = found.where("tail is not null").select("doc_id", F.col("tail").alias("text"), "part").join(after, "part").join(heads, "to")
+
+    def last(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(_told(*(b.column(k).to_pylist() for k in range(3))), names=names[:7])
+
+    return found.where("part is null").select(names[:7]).unionByName(ends.select("doc_id", "text", "following").mapInArrow(last, _SCHEMA))
