@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 LOW, HIGH = 0, 1 << 128
 PROBES = 32
@@ -105,28 +105,52 @@ def splitters(slim: DataFrame, parts: int, tolerance: float) -> tuple[list[int],
     return [max(out[: k + 1]) for k in range(len(out))], total
 
 
-def shard(df: DataFrame, shards: int = 24, tolerance: float = 0.002, part_bytes: int = 1 << 27) -> DataFrame:
+#: Rows that are sorted together inside a shard aim at this number.
+RUN_ROWS = 1 << 18
+
+
+def _runs(slim: DataFrame, total: int) -> DataFrame:
+    """slim (shard, h, i) -> the same with `run`, a struct that goes up with (h, i) inside a shard; a run aims at RUN_ROWS rows.
+
+    a: the top bits of h, as many as the number of rows asks for. In a run that is still large, as one with a large group of
+    equal texts is, b counts the large groups before (and one more inside one), and c cuts such a group by ranges of i."""
+    bits = max(0, min(62, (total // RUN_ROWS).bit_length()))
+    d = slim.withColumn("a", (F.shiftright("h", 64 - bits) if bits else F.lit(0)).cast("long"))
+    large = d.groupBy("shard", "a").count().where(F.col("count") > 4 * RUN_ROWS).select("shard", "a")
+    large = materialize(large, "shard-large")  # a row for 4 RUN_ROWS rows at least
+    zero = F.lit(0).cast("long")
+    if large.isEmpty():
+        discard(large)
+        return d.withColumn("run", F.struct("a", zero.alias("b"), zero.alias("c"))).drop("a")
+    group = d.join(large, ["shard", "a"], "left_semi").groupBy("shard", "a", "h").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi")).where(F.col("n") > RUN_ROWS)
+    # a null doc_id is the smallest number there is; widths are taken as doubles, whose rounding keeps the order
+    lo = F.col("lo").cast("double")
+    wide = (F.col("hi").cast("double") - lo + 1) / F.ceil(F.col("n") / RUN_ROWS)
+    group = group.groupBy("shard", "a").agg(F.collect_list(F.struct(F.col("h").alias("of"), lo.alias("lo"), wide.alias("wide"))).alias("groups"))  # a struct for RUN_ROWS rows
+    d = d.join(materialize(group, "shard-groups"), ["shard", "a"], "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<struct<of:long,lo:double,wide:double>>")))
+    mine = F.filter("groups", lambda g: g["of"] == F.col("h"))
+    b = 2 * F.size(F.filter("groups", lambda g: g["of"] < F.col("h"))) + F.size(mine)
+    c = F.when(F.size(mine) > 0, F.floor((F.col("i").cast("double") - F.get(mine, 0)["lo"]) / F.get(mine, 0)["wide"])).otherwise(0)
+    return d.withColumn("run", F.struct("a", b.cast("long").alias("b"), c.cast("long").alias("c"))).drop("a", "groups")
+
+
+def shard(df: DataFrame, shards: int = 24, tolerance: float = 0.002) -> DataFrame:
     """All columns of df, plus shard (0 to shards - 1) and slot (0, 1, ... in each shard): sizes near equal (law `bytes`).
 
     Rows are sorted by (xxhash64 of text, doc_id), so equal texts stay together unless a group is too large for the
     tolerance; then it is cut by doc_id into neighbouring shards. Size: UTF-8 bytes plus 8. Bytes below each boundary between
-    shards differ from the goal by tolerance of a shard, or by half the row that lies on the goal. A shard over part_bytes is
-    sorted in several tasks. The slots of a part start where the counted rows of the parts before it end.
-    Defined results: null text counts as empty, null doc_id sorts as the smallest; rows with the same text and doc_id stay in
-    one part, in any order; an empty table gives no rows; df may have any other columns but shard and slot, which it replaces."""
+    shards differ from the goal by tolerance of a shard, or by half the row that lies on the goal. The shards' boundaries are
+    all that goes to the driver and back. Inside a shard, runs of rows are counted, and a slot is the rows of the runs before
+    plus the place in the run, so a shard of any size is sorted by many tasks.
+    Defined results: null text counts as empty, null doc_id sorts as the smallest; rows with the same text and doc_id come in
+    any order; an empty table gives no rows; df may have any other columns but shard and slot, which it replaces."""
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     i = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     slim = materialize(df.select(h.alias("h"), i.alias("i"), size.alias("size")), "shard-keys")
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    parts = shards * max(1, -(-total // (shards * part_bytes)))
-    cuts, _ = splitters(slim, parts, tolerance)
-    counts = [c[1] for c in _count(slim, cuts)] if cuts else [0] * parts
-    per, starts = parts // shards, []
-    for p in range(len(counts)):
-        starts.append(0 if p % per == 0 else starts[-1] + counts[p - 1])
-    packed = _pack(cuts)
+    cuts, _ = splitters(slim, shards, tolerance)
+    packed, total = _pack(cuts), slim.count()
 
     @F.pandas_udf("int")
     def part(h, i):
@@ -134,7 +158,10 @@ def shard(df: DataFrame, shards: int = 24, tolerance: float = 0.002, part_bytes:
 
         return pd.Series(np.searchsorted(packed, _keys(h.to_numpy(), i.to_numpy()), side="right").astype(np.int32))
 
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), F.col("__part") + 1)
-    d = df.select(*keep, h.alias("__h"), i.alias("__i")).withColumn("__part", part("__h", "__i"))
-    row = F.row_number().over(Window.partitionBy("__part").orderBy("__h", "__i")).cast("long") - 1
-    return d.withColumn("shard", F.floor(F.col("__part") / per).cast("int")).withColumn("slot", start + row).drop("__h", "__i", "__part")
+    runs = _runs(slim.withColumn("shard", part("h", "i")), total).groupBy("shard", "run").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = materialize(runs.select("shard", "run", before.alias("before")), "shard-runs")  # a row for each run
+    d = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], h.alias("h"), i.alias("i"))
+    d = _runs(d.withColumn("shard", part("h", "i")), total).join(runs, ["shard", "run"])
+    row = F.row_number().over(Window.partitionBy("shard", "run").orderBy("h", "i")).cast("long") - 1
+    return d.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "shard", (F.col("before") + row).alias("slot"))

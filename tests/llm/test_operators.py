@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quillon.llm import components, crf_langid, hmm_lm, iblt, mixing, multi_index, queries, sentencepiece_nbest, simhash, toxicity, wrapper
+from quillon.llm import components, crf_langid, hmm_lm, iblt, mixing, multi_index, queries, sentencepiece_nbest, sharding, simhash, toxicity, wrapper
 from quillon.llm.common import table, vocabulary_path
 
 from ..conftest import DATA, rows
@@ -298,6 +298,36 @@ def test_mix_of_repeated_rows(spark, tmp_path):
     assert seen == Counter({k: n for k, n in want.items() if n}) and max(got.values()) <= 9 and got.keys() <= set(rows)
 
 
+def test_op3_sample_does_not_depend_on_partitions(spark):
+    d = table(spark, SF, "documents")
+    assert crf_langid.fit_sample(d.repartition(1)) == crf_langid.fit_sample(d.repartition(7))
+
+
+def test_op5_score_by_brute_force(spark):
+    """The score column against the forward recursion written out, with the trained model and counts of all words."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("the a cat dog sat ran zzq".split() + [f"w{rng.randrange(90)}"]) for _ in range(rng.randrange(0, 12)))) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    vocab, m, counted = hmm_lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    c = Counter(w for t in train for w in hmm_lm.tokens(t))
+    assert set(vocab) == {w for w, n in c.items() if n >= hmm_lm.LEAST_COUNT}
+    of_bucket = lambda b: [w for w in c if w not in vocab and hmm_lm.bucket(w) == b]
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.score(d).collect()}
+    for k, t in rows:
+        v, total = m.start, 0.0
+        for at, w in enumerate([*hmm_lm.tokens(t), None]):
+            cls = 0 if w is None else vocab[w]
+            e = m.emit[cls].copy()
+            if w is not None and w not in vocab:
+                mine = of_bucket(hmm_lm.bucket(w))
+                e *= (c[w] + 0.1) / (sum(c[x] for x in mine) + 0.1 * (len(mine) + 1))
+            v = (v @ m.step if at else v) * e
+            total += math.log10(v.sum())
+            v = v / v.sum()
+        assert abs(got[k] - total) < 1e-6
+
+
 def test_op4_ranges(spark, duck, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
     assert rows(queries.op4_mixing(spark, SF).toPandas()) == rows(duck.execute(queries.oracle_sql()["op4_mixing"]).df())
@@ -358,6 +388,23 @@ def test_op7(spark, texts):
     assert by.max() - by.min() <= 2 * got["size"].max()
 
 
+def test_op7_groups_and_runs(spark, monkeypatch):
+    """Equal texts side by side, shards near equal, slots gapless and in order, with runs of few rows and a hot text."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", 16)
+    rows = [(k, f"text {k % 400} " + "x" * (k % 90), 1) for k in range(3000)] + [(k, "the hot text", 1) for k in range(3000, 5000)] + [(None, None, 1), (None, "the hot text", 1)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, shard int"), 6).toPandas()
+    size = got.text.fillna("").str.encode("utf-8").str.len() + 8
+    by = size.groupby(got.shard).sum()
+    assert len(got) == len(rows) and by.max() - by.min() <= 2 * (0.002 * size.sum() / 6 + size.max())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    got = got.sort_values(["shard", "slot"]).reset_index(drop=True)
+    runs = (got.text.fillna("") != got.text.fillna("").shift()).sum()
+    assert runs == got.text.fillna("").nunique()  # each text is one run of rows over all shards in order
+    ids = got[got.text == "the hot text"].doc_id.fillna(-1)
+    assert ids.is_monotonic_increasing
+
+
 def test_op8(spark):
     docs, labels = table(spark, f"{DATA}/sf0.1", "documents"), table(spark, f"{DATA}/sf0.1", "labels")
     got = toxicity.classify(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
