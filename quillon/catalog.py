@@ -31,6 +31,11 @@ def _ask(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"), retrieval.query_table(spark))
 
 
+def _search(f: Callable[[index.Index, DataFrame], DataFrame]) -> Query:
+    """Over the stored index of documents, which the first such query of a session builds."""
+    return lambda spark, sf_dir: f(index.stored(table(spark, sf_dir, "documents"), sf_dir), retrieval.query_table(spark))
+
+
 def _numbers(f: Callable[[DataFrame], DataFrame]) -> Query:
     """Over x: quantities, prices and keys of lineitem as whole numbers."""
 
@@ -41,10 +46,8 @@ def _numbers(f: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
-def _bm25_weights(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    q = retrieval.query_terms(queries)
-    stats = index.term_stats(docs, q.select("term").distinct()).crossJoin(index.collection_stats(docs).select("num_docs"))  # one row on the right
-    return q.join(stats, "term").select("query_id", "term", "qtf", "df", F.round(query_term_weight(F.col("qtf"), F.col("df"), F.col("num_docs")), 9).alias("weight"))
+def _bm25_weights(i: index.Index, queries: DataFrame) -> DataFrame:
+    return retrieval.weights(i, queries).select("query_id", "term", "qtf", "df", F.round("q_w", 9).alias("weight"))
 
 
 def _query_map(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ _QUERIES: dict[str, Query] = {
     "lexicon": _docs(index.lexicon),
     "collection_stats": _docs(lambda d: index.collection_stats(d).withColumn("avg_len", F.round("avg_len", 9))),
     "doc_stats": _docs(lambda d: index.doc_stats(d).withColumn("norm_len", F.round("norm_len", 9))),
-    "term_stats": _docs(lambda d: index.term_stats(d).withColumn("max_term_weight", F.round("max_term_weight", 9))),
+    "term_stats": _docs(lambda d: index.term_stats(index.weighted_postings(d)).withColumn("max_term_weight", F.round("max_term_weight", 9))),
     "verify_postings": _docs(_verify),
     "stemmed_terms": _docs(_stemmed),
     "query_tokens": lambda spark, _: retrieval.query_tokens(retrieval.query_table(spark)),
@@ -109,15 +112,15 @@ _QUERIES: dict[str, Query] = {
     "query_map": _ask(_query_map),
     "query_lines": _ask(_query_lines),
     "query_skipped": _ask(_skipped),
-    "bm25_weights": _ask(_bm25_weights),
-    "and_count": _ask(lambda d, q: retrieval.boolean(d, q, True, False)),
-    "and_freq": _ask(lambda d, q: retrieval.boolean(d, q, True, True)),
-    "or_count": _ask(lambda d, q: retrieval.boolean(d, q, False, False)),
-    "or_freq": _ask(lambda d, q: retrieval.boolean(d, q, False, True)),
-    "ranked_or": _ask(retrieval.ranked),
-    "ranked_and": _ask(lambda d, q: retrieval.ranked(d, q, every=True)),
-    "wand": _ask(pruned.wand),
-    "maxscore": _ask(pruned.maxscore),
+    "bm25_weights": _search(_bm25_weights),
+    "and_count": _search(lambda d, q: retrieval.boolean(d, q, True, False)),
+    "and_freq": _search(lambda d, q: retrieval.boolean(d, q, True, True)),
+    "or_count": _search(lambda d, q: retrieval.boolean(d, q, False, False)),
+    "or_freq": _search(lambda d, q: retrieval.boolean(d, q, False, True)),
+    "ranked_or": _search(retrieval.ranked),
+    "ranked_and": _search(lambda d, q: retrieval.ranked(d, q, every=True)),
+    "wand": _search(pruned.wand),
+    "maxscore": _search(pruned.maxscore),
     "list_view": _lists(_list_view),
     "cursor_accessors": _lists(_accessors),
     "next_posting": _lists(layout.next_posting),

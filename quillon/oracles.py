@@ -10,8 +10,8 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _P = f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT term, doc_id, count(*)::BIGINT AS freq FROM t GROUP BY ALL), l AS (SELECT doc_id, len({_TOKENS})::BIGINT AS doc_len FROM documents), c AS (SELECT count(*)::BIGINT AS num_docs, sum(doc_len)::BIGINT AS num_tokens, sum(doc_len)::DOUBLE / count(*) AS avg_len FROM l), lex AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_id FROM (SELECT DISTINCT term FROM t))"
 _VALUES = ", ".join(f"({k}::BIGINT, '{q}')" for k, q in enumerate(QUERIES))
 _Q = f"{_P}, queries(query_id, text) AS (VALUES {_VALUES}), qs AS (SELECT query_id, [x FOR x IN string_split(lower(text), ' ') IF x <> ''] AS ts FROM queries), qt AS (SELECT query_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM qs), q AS (SELECT query_id, token AS term, count(*)::BIGINT AS qtf FROM qt GROUP BY ALL), need AS (SELECT query_id, count(*) AS terms FROM q GROUP BY 1)"
-_W = f"{_Q}, w AS (SELECT term, p.doc_id, freq, num_docs, freq / (freq + 1.2::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * (doc_len / avg_len))) AS d_w FROM p JOIN l USING (doc_id), c), st AS (SELECT term, count(*)::BIGINT AS df, sum(freq)::BIGINT AS cf, max(d_w) AS max_term_weight FROM w GROUP BY 1), s AS (SELECT query_id, doc_id, sum(qtf * greatest(1e-6::DOUBLE, ln((num_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * 2.2::DOUBLE * d_w) AS score, count(*) AS found FROM q JOIN w USING (term) JOIN st USING (term) GROUP BY ALL)"
-_TOP = "SELECT query_id, rank, doc_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s {where}) WHERE rank <= 10"
+_W = f"{_Q}, w AS (SELECT term, p.doc_id, freq, num_docs, freq / (freq + 1.2::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * (doc_len / avg_len))) AS d_w FROM p JOIN l USING (doc_id), c), st AS (SELECT term, count(*)::BIGINT AS df, sum(freq)::BIGINT AS cf, max(d_w) AS max_term_weight FROM w GROUP BY 1), s AS (SELECT query_id, doc_id, sum(floor(qtf * greatest(1e-6::DOUBLE, ln((num_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * 2.2::DOUBLE * d_w * 1e12::DOUBLE + 0.5::DOUBLE)::BIGINT) AS units, count(*) AS found FROM q JOIN w USING (term) JOIN st USING (term) GROUP BY ALL)"
+_TOP = "SELECT query_id, rank, doc_id, round(units::DOUBLE / 1e12::DOUBLE, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM s {where}) WHERE rank <= 10"
 _HITS = f"{_Q}, h AS (SELECT query_id, doc_id, count(*) AS found, sum(freq) AS freq FROM q JOIN p USING (term) GROUP BY ALL), r AS (SELECT query_id, count(*) AS results, sum(freq) AS freq_sum FROM h {{where}} GROUP BY 1) SELECT query_id, coalesce(results, 0)::BIGINT AS results {{freq}} FROM queries LEFT JOIN r USING (query_id)"
 _EVERY, _FREQ = "JOIN need USING (query_id) WHERE found = terms", ", coalesce(freq_sum, 0)::BIGINT AS freq_sum"
 

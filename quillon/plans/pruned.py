@@ -1,37 +1,44 @@
-"""Top-k plans that leave out documents by score bounds; the same answers as exhaustive ranking."""
+"""Top-k plans that leave out postings by score bounds before they are scored together; the answers of exhaustive ranking."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import contributions, top_k
+from ..operators.index import Index
+from ..operators.retrieval import contributions, top_k, units, weights
 
-SLACK = 1 - 1e-9
+#: Bounds are sums of doubles: compared with this much to spare.
+SLACK = 1 + 1e-9
 
 
-def _threshold(c: DataFrame, k: int) -> DataFrame:
-    """query_id, theta: the k-th best score of the term with the highest bound; 0 if it has fewer documents."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("term"))
-    lead = c.select("query_id", "term", "bound").distinct().withColumn("r", F.row_number().over(best)).where("r = 1").select("query_id", "term")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    kth = c.join(lead, ["query_id", "term"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k)
-    return kth.select("query_id", (F.col("score") * SLACK).alias("theta"))
+def _bounded(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """weights() with `upper` (bounds of this and all lesser terms of the query), `whole` (of all its terms) and `theta`: the k-th
+    best score, in units, that the term with the highest bound gives alone, 0 if fewer documents have it.
 
+    Only the lists of these terms are read for that. Rows are one for each term of a query."""
+    by = Window.partitionBy("query_id").orderBy("bound", "term")
+    w = weights(index, queries).withColumn("upper", F.sum("bound").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    w = w.withColumn("whole", F.max("upper").over(Window.partitionBy("query_id")))
+    lead = w.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("term")))).where("r = 1").drop("r")
+    order = Window.partitionBy("query_id").orderBy(F.desc("units"), "doc_id")
+    theta = contributions(index, lead).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("units").alias("theta"))
+    return w.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0)))
 
-def maxscore(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents with only terms whose bounds together stay under the threshold are no candidates."""
-    c = contributions(docs, queries)
-    order = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    terms = c.select("query_id", "term", "bound").distinct().withColumn("upper", F.sum("bound").over(order))
-    needed = terms.join(_threshold(c, k), "query_id", "left").where("upper >= coalesce(theta, 0)").select("query_id", "term")
-    candidates = c.join(needed, ["query_id", "term"], "left_semi").select("query_id", "doc_id").distinct()
-    return top_k(c.join(candidates, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), k)
 
+def _promising(index: Index, w: DataFrame) -> DataFrame:
+    """Postings whose own score and the bounds of the query's other terms reach theta. A document that reaches it keeps all of its
+    postings; one that loses some stays under it."""
+    return contributions(index, w).where(F.col("units") + units((F.col("whole") - F.col("bound")) * SLACK) + 8 >= F.col("theta"))
 
-def wand(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents whose terms' bounds add up to less than the threshold are left out before scoring."""
-    c = contributions(docs, queries)
-    bounds = c.groupBy("query_id", "doc_id").agg(F.sum("bound").alias("upper"))
-    candidates = bounds.join(_threshold(c, k), "query_id", "left").where("upper >= coalesce(theta, 0)").select("query_id", "doc_id")
-    return top_k(c.join(candidates, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), k)
+
+def wand(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """A posting goes on only if its document could reach the threshold; checked where it is read, before any exchange."""
+    return top_k(_promising(index, _bounded(index, queries, k)).groupBy("query_id", "doc_id").agg(F.sum("units").alias("units")), k)
+
+
+def maxscore(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Besides, terms whose bounds together stay under the threshold make no candidates: a document needs one of the others."""
+    p = _promising(index, _bounded(index, queries, k)).withColumn("needed", units(F.col("upper") * SLACK) + 8 >= F.col("theta"))
+    p = p.groupBy("query_id", "doc_id").agg(F.sum("units").alias("units"), F.max("needed").alias("needed"))
+    return top_k(p.where("needed"), k)

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import read_lines
+
 
 def sequences(data: bytes) -> Iterator[np.ndarray]:
     """The lists of a file; empty ones are skipped, a last one that is cut off has what is there."""
@@ -61,12 +63,13 @@ def write_collection(lists: DataFrame, sizes: DataFrame, num_docs: int, base: st
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """term_id (the line's number, from 0), term; of equal lines the last counts. A missing file is an error."""
-    d = spark.read.text(path).select(F.col("value").alias("term"), F.monotonically_increasing_id().alias("at"))
-    d = d.select("term", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("term_id"))
-    return d.groupBy("term").agg(F.max("term_id").alias("term_id"))
+    return read_lines(spark, path).groupBy(F.col("value").alias("term")).agg(F.max("n").alias("term_id"))
 
 
-def write_mapped_queries(mapped: DataFrame, path: str) -> None:
-    """query lines of ids with tabs, in the order of queries."""
-    line = F.concat_ws("\t", F.transform(F.sort_array(F.collect_list(F.struct("pos", "term_id"))), lambda x: x["term_id"].cast("string")))
-    mapped.groupBy("query_id").agg(line.alias("value")).orderBy("query_id").select("value").write.mode("overwrite").text(path)
+def write_mapped_queries(mapped: DataFrame, path: str, stems_path: str | None = None) -> None:
+    """Query lines of ids with tabs, in the order of queries; those of stem ids, line by line beside them, if asked for."""
+    both = F.sort_array(F.collect_list(F.struct("pos", *[c for c in ("term_id", "stem_id") if c in mapped.columns])))  # words of one query
+    lines = mapped.groupBy("query_id").agg(both.alias("x")).orderBy("query_id")
+    for column, to in (("term_id", path), ("stem_id", stems_path)):
+        if to:
+            lines.select(F.concat_ws("\t", F.col("x")[column].cast("array<string>")).alias("value")).write.mode("overwrite").text(to)
