@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ans, bits
+from .functions import bits
 from .functions.bm25 import query_term_weight
 from .functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS
 from .functions.text import stem
@@ -89,13 +89,8 @@ def _stats_line(lists: DataFrame) -> DataFrame:
 
 
 def _packed_models(lists: DataFrame) -> DataFrame:
-    counts: dict = {}
-    for r in layout.magnitude_counts(lists).collect():  # at most 2 * 16 models of 33 magnitudes
-        counts.setdefault((r["stream"], r["model_id"]), {})[r["mag"]] = (r["count"], r["max_value"])
-    rows = []
-    for (s, m), c in sorted(counts.items()):
-        most = max(x[1] for x in c.values())
-        rows += [(s, m, k, f) for k, f in ans.magnitude_frequencies({k: x[0] for k, x in c.items()}, most).items()]
+    models, _ = coding.ans_models(lists, "max", merge=False, packed=True)
+    rows = [(s, int(m), k, int(f)) for s, by in models.items() for m, x in by.items() for k, f in enumerate(x.freq.tolist()) if f]
     return lists.sparkSession.createDataFrame(rows, "stream string, model_id long, mag long, frequency long")
 
 
@@ -132,7 +127,9 @@ _QUERIES: dict[str, Query] = {
     "block_layout": _lists(layout.block_layout),
     "block_bytes": _lists(layout.block_bytes),
     "block_size_stats": _lists(layout.block_size_stats),
-    "ans_block_size_stats": _lists(lambda p: layout.block_size_stats(p, 256)),
+    "ans_block_size_stats": _lists(coding.ans_block_size_stats),
+    "packed_block_size_stats": _lists(lambda p: coding.ans_block_size_stats(p, context="max", merge=False, packed=True)),
+    "ans_models": _lists(coding.model_tables),
     "index_size_stats": _lists(layout.index_size_stats),
     "stats_line": _lists(_stats_line),
     "sequence_sizes": _lists(layout.sequence_sizes),
@@ -155,8 +152,9 @@ _QUERIES: dict[str, Query] = {
 _QUERIES |= {f"verify_{c}": _lists(lambda p, c=c: coding.verify_blocks(p, c).drop("bytes")) for c in BLOCK_CODECS}
 _QUERIES |= {f"verify_{c}": _lists(lambda p, c=c: coding.verify_sequences(p, c).drop("bytes")) for c in SEQUENCE_CODECS}
 _QUERIES |= {f"verify_ans_{c}": _lists(lambda p, c=c: coding.verify_ans(p, c, merge=c in ("med90p", "medmax")).drop("bytes")) for c in ("max", "minmax", "med90p", "medmax")}
+_QUERIES |= {"verify_ans_packed": _lists(lambda p: coding.verify_ans(p, "max", merge=False, packed=True).drop("bytes"))}
 _QUERIES |= {f"sizes_{c}": _lists(lambda p, c=c: coding.verify_blocks(p, c)) for c in ("simple16", "varint", "interpolative", "optpfor")}
-_QUERIES |= {"sizes_ans": _lists(coding.verify_ans)}
+_QUERIES |= {"sizes_ans": _lists(coding.verify_ans), "sizes_ans_packed": _lists(lambda p: coding.verify_ans(p, "max", merge=False, packed=True))}
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ans
 from ..functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS
 from ..functions.partition import optimal_partition
-from .layout import streams, symbol_counts, with_contexts
+from .layout import magnitude_counts, streams, symbol_counts, with_contexts
 
 _STATS = "stream string, blocks long, postings long, bytes long, mismatches long"
 
@@ -67,11 +68,16 @@ def verify_sequences(lists: DataFrame, codec: str, part: int = 4096) -> DataFram
     return _summed(streams(lists, part).where("stream = 'doc'").mapInPandas(run, _STATS), codec=codec)
 
 
-def ans_models(lists: DataFrame, context: str = "medmax", merge: bool = True) -> tuple[dict, dict]:
-    """First pass: models by (stream, model), and the model of each (stream, context). Counts of at most 2 x 256 x 1,025 symbols come to the driver."""
+def ans_models(lists: DataFrame, context: str = "medmax", merge: bool = True, packed: bool = False) -> tuple[dict, dict]:
+    """First pass: models by stream and number, and the model of each (stream, context). Counts of at most 2 x 256 x 1,025 symbols,
+    or 2 x 16 x 33 magnitudes, come to the driver."""
     counts: dict = {}
-    for r in symbol_counts(lists, context).collect():
-        counts.setdefault(r["stream"], {}).setdefault(r["model_id"], {})[r["symbol"]] = r["count"]
+    most: dict = {}
+    found = magnitude_counts(lists, context) if packed else symbol_counts(lists, context)
+    for r in found.collect():
+        counts.setdefault(r["stream"], {}).setdefault(r["model_id"], {})[r["mag" if packed else "symbol"]] = r["count"]
+        if packed:
+            most[r["stream"], r["model_id"]] = max(r["max_value"], most.get((r["stream"], r["model_id"]), 0))
     homes, models = {}, {}
     for stream, by in counts.items():
         to = ans.merged(by) if merge else {m: m for m in by}
@@ -81,33 +87,61 @@ def ans_models(lists: DataFrame, context: str = "medmax", merge: bool = True) ->
             for s, n in c.items():
                 sums.setdefault(to[m], {})
                 sums[to[m]][s] = sums[to[m]].get(s, 0) + n
-        models |= {(stream, m): ans.Model(c) for m, c in sums.items()}
+        models[stream] = {m: ans.MagnitudeModel(c, most[stream, m]) if packed else ans.ByteModel(c) for m, c in sums.items() if m}
     return models, homes
 
 
-def verify_ans(lists: DataFrame, context: str = "medmax", merge: bool = True) -> DataFrame:
-    """Second pass: every block coded with its model and decoded again."""
-    models, homes = ans_models(lists, context, merge)
+def model_tables(lists: DataFrame, context: str = "medmax", merge: bool = True, packed: bool = False) -> DataFrame:
+    """stream, context, model_id, frame, kind (how its decoding table is laid out): the models of an index, as they are stored."""
+    models, homes = ans_models(lists, context, merge, packed)
+    kind = lambda m: ("magnitudes" if m.by_magnitude else "values") if m.packed else "fast" if m.fast else "compact"
+    rows = [(s, int(c), int(to), models[s][to].size if to else 0, kind(models[s][to]) if to else "none") for (s, c), to in homes.items()]
+    return lists.sparkSession.createDataFrame(rows, "stream string, context long, model_id long, frame long, kind string")
+
+
+def ans_blocks(lists: DataFrame, context: str = "medmax", merge: bool = True, packed: bool = False) -> DataFrame:
+    """Second pass: stream, term_id, block_no, n, list_size, model_id, payload, wrong (does it decode to anything else?)."""
+    models, homes = ans_models(lists, context, merge, packed)
+    held = lists.sparkSession.sparkContext.broadcast((models, homes))  # at most 2 x 63 (merged) or 2 x 256 models of 1,025 symbols
+    wide = merge or context not in ("max",)
 
     def run(frames):
+        models, homes = held.value
         for f in frames:
-            rows = []
-            for stream, m, values in zip(f["stream"], f["m"], f["values"], strict=True):
-                v = [int(x) for x in values]
-                model = models.get((stream, homes.get((stream, m))))
-                data = ans.encode_block(v, model, stream == "doc")
-                rows.append((stream, 1, len(v), len(data), int(ans.decode_block(data, len(v), model, stream == "doc") != v)))
-            yield pd.DataFrame(rows, columns=["stream", "blocks", "postings", "bytes", "mismatches"])
+            parts = []
+            for stream, g in f.groupby("stream", sort=False):
+                blocks = [np.asarray(v, np.int64) for v in g["values"]]
+                ids = [homes.get((stream, m), 0) for m in g["m"]]
+                docs, known = stream == "doc", g["known"].tolist()
+                data = ans.encode_blocks(blocks, ids, models.get(stream, {}), docs, wide)
+                back = ans.decode_blocks(data, [len(b) for b in blocks], models.get(stream, {}), docs, wide, known)
+                wrong = [int(not np.array_equal(a, b)) for a, b in zip(blocks, back, strict=True)]
+                parts.append(g[["stream", "term_id", "block_no", "n", "list_size"]].assign(model_id=ids, payload=data, wrong=wrong))
+            yield pd.concat(parts) if parts else f.iloc[:0].reindex(columns=["stream", "term_id", "block_no", "n", "list_size", "model_id", "payload", "wrong"])
+
+    d = with_contexts(lists).select("stream", "term_id", "block_no", "n", "list_size", "known", F.col(context).alias("m"), "values")
+    return d.mapInPandas(run, "stream string, term_id long, block_no long, n long, list_size long, model_id long, payload binary, wrong long")
+
+
+def verify_ans(lists: DataFrame, context: str = "medmax", merge: bool = True, packed: bool = False) -> DataFrame:
+    """context, stream, blocks, postings, bytes, mismatches."""
+    d = ans_blocks(lists, context, merge, packed).groupBy("stream").agg(F.count("*").alias("blocks"), F.sum("n").alias("postings"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.sum("wrong").alias("mismatches"))
+    return d.select(F.lit("packed" if packed else context).alias("context"), "stream", "blocks", "postings", "bytes", "mismatches")
+
 
-    d = with_contexts(lists).select("stream", F.col(context).alias("m"), "values")
-    return _summed(d.mapInPandas(run, _STATS), context=context)
+def ans_block_size_stats(lists: DataFrame, size: int = 256, **models) -> DataFrame:
+    """class, blocks, postings, overhead_bytes, doc_bytes, freq_bytes: of the coded blocks, by full blocks, last ones and short lists."""
+    kind = F.when(F.col("list_size") < size, "small").when(F.col("n") == size, "full").otherwise("last")
+    d = ans_blocks(lists, **models).withColumn("class", kind).withColumn("bytes", F.octet_length("payload"))
+    doc = F.col("stream") == "doc"
+    of = lambda s, c: F.coalesce(F.sum(F.when(s, c)), F.lit(0)).cast("long")
+    over = F.when(F.col("block_no") == 0, 4).otherwise(8)
+    return d.groupBy("class").agg(F.count_if(doc).alias("blocks"), of(doc, F.col("n")).alias("postings"), of(doc, over).alias("overhead_bytes"), of(doc, F.col("bytes")).alias("doc_bytes"), of(~doc, F.col("bytes")).alias("freq_bytes"))
 
 
 def merged_models(lists: DataFrame, context: str = "medmax") -> DataFrame:
     """stream, context, model_id, size: the model that each context has after merging, and its frame size."""
-    models, homes = ans_models(lists, context)
-    rows = [(s, int(m), int(to), models[s, to].size) for (s, m), to in homes.items()]
-    return lists.sparkSession.createDataFrame(rows, "stream string, context long, model_id long, size long")
+    return model_tables(lists, context).select("stream", "context", "model_id", F.col("frame").alias("size"))
 
 
 def optimal_partitions(lists: DataFrame) -> DataFrame:
@@ -130,5 +164,6 @@ def partition_lengths(lists: DataFrame, least: int = 16) -> DataFrame:
 
 
 def decode_stats(lists: DataFrame, context: str = "medmax") -> DataFrame:
-    """stream, model_id, blocks, values: what decoding the whole index does with each model."""
-    return with_contexts(lists).groupBy("stream", F.col(context).alias("model_id")).agg(F.count("*").alias("blocks"), F.sum("n").alias("values"))
+    """stream, model_id, blocks, values, bytes: what decoding the whole index does with each model of leading bytes."""
+    d = ans_blocks(lists, context)
+    return d.groupBy("stream", "model_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("values"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))

@@ -129,10 +129,11 @@ def endpoints(lists: DataFrame) -> DataFrame:
 
 
 def streams(lists: DataFrame, size: int = 256) -> DataFrame:
-    """stream ('doc' or 'freq'), term_id, block_no, n, values."""
+    """stream ('doc' or 'freq'), term_id, block_no, n, list_size, known (sum of the gaps, from the block table; null for freqs), values."""
     b = blocks(lists, size)
-    rows = F.array(F.struct(F.lit("doc").alias("stream"), F.col("gaps").alias("values")), F.struct(F.lit("freq").alias("stream"), F.col("freqs").alias("values")))
-    return b.select("term_id", "block_no", "n", F.explode(rows).alias("x")).select("x.stream", "term_id", "block_no", "n", "x.values")
+    known = F.col("block_max") - F.col("block_base") - F.col("n") + 1
+    rows = F.array(F.struct(F.lit("doc").alias("stream"), known.alias("known"), F.col("gaps").alias("values")), F.struct(F.lit("freq").alias("stream"), F.lit(None).cast("long").alias("known"), F.col("freqs").alias("values")))
+    return b.select("term_id", "block_no", "n", "list_size", F.explode(rows).alias("x")).select("x.stream", "term_id", "block_no", "n", "list_size", "x.known", "x.values")
 
 
 def with_contexts(lists: DataFrame) -> DataFrame:
@@ -143,11 +144,11 @@ def with_contexts(lists: DataFrame) -> DataFrame:
     top, low, mid, p90 = at(F.col("n")), at(F.lit(1)), at(F.floor(F.col("n") / 2) + 1), at(F.floor(9 * F.col("n") / 10) + 1)
     some = F.element_at("s", F.col("n").cast("int")) != 0
     marked = lambda c: F.when((c == 0) & some, 1).otherwise(c).cast("long")
-    return d.select("stream", "term_id", "block_no", "n", "values", top.alias("max"), (16 * top + low).alias("minmax"), marked(16 * p90 + mid).alias("med90p"), marked(16 * top + mid).alias("medmax"))
+    return d.select("stream", "term_id", "block_no", "n", "list_size", "known", "values", top.alias("max"), (16 * top + low).alias("minmax"), marked(16 * p90 + mid).alias("med90p"), marked(16 * top + mid).alias("medmax"))
 
 
 def contexts(lists: DataFrame) -> DataFrame:
-    return with_contexts(lists).drop("values")
+    return with_contexts(lists).drop("values", "known", "list_size")
 
 
 def symbol_counts(lists: DataFrame, context: str = "medmax") -> DataFrame:

@@ -131,7 +131,6 @@ def oracle_sql() -> dict[str, str]:
         "block_layout": f"{_blocks(128)} SELECT term_id, block_no, n, block_base, block_max, {_OVERHEAD}::BIGINT AS overhead_bytes FROM b",
         "block_bytes": f"{_blocks(128)} SELECT term_id, block_no, list_size, n, vbyte_doc_bytes, vbyte_freq_bytes, u32_bytes FROM b",
         "block_size_stats": _class_stats(128),
-        "ans_block_size_stats": _class_stats(256),
         "index_size_stats": f"{_blocks(128)} SELECT sum(vbyte_doc_bytes)::BIGINT AS docs_size, sum(vbyte_freq_bytes)::BIGINT AS freqs_size, sum(CASE WHEN block_no = 0 THEN 4 + {_vbyte('list_size')} ELSE 8 END)::BIGINT AS meta_size, sum(n)::BIGINT AS postings, round(8 * sum(vbyte_doc_bytes)::DOUBLE / sum(n), 9) AS bits_per_doc, round(8 * sum(vbyte_freq_bytes)::DOUBLE / sum(n), 9) AS bits_per_freq FROM b",
         "stats_line": f"""SELECT '{{"type":"' || "class" || '","blocks":' || blocks || ',"postings":' || postings || ',"overhead_bytes":' || overhead_bytes || ',"vbyte_doc_bytes":' || vbyte_doc_bytes || ',"vbyte_freq_bytes":' || vbyte_freq_bytes || '}}' AS line FROM ({_class_stats(128)})""",
         "sequence_sizes": f"{_SIZES} SELECT term_id, n, universe, {_ef(_U, _N)}::BIGINT AS ef_bits, {_strict_ef(_U, _N)}::BIGINT AS strict_ef_bits, {_bitmap(_U, _N)}::BIGINT AS bitmap_bits, CASE WHEN universe = n THEN 0 END::BIGINT AS all_ones_bits, {_KIND} AS indexed_type, {_COST} AS indexed_bits, {_FKIND} AS freq_type, {_FCOST} AS freq_bits, {_HEADER} AS header_bits FROM z",
@@ -144,11 +143,11 @@ def oracle_sql() -> dict[str, str]:
         "ans_histogram": f"{_HIST} SELECT * FROM h",
         "packed_histogram": f'{_STREAMS}, y AS (SELECT stream, "max" AS model_id, unnest(vals) + 1 AS x FROM x) SELECT stream, model_id, {_ceil_log2("x")}::BIGINT AS mag, count(*)::BIGINT AS count, max(x) AS max_value FROM y GROUP BY ALL',
         "ans_entropy": f"{_HIST}, m AS (SELECT *, (sum(count) OVER (PARTITION BY stream, model_id))::BIGINT AS total FROM h) SELECT stream, model_id, total, round(sum(count * log2(total / count)), 4) AS entropy FROM m GROUP BY ALL",
-        "decode_stats": f"{_STREAMS} SELECT stream, medmax AS model_id, count(*)::BIGINT AS blocks, sum(n)::BIGINT AS values FROM x GROUP BY ALL",
         "latency_quantiles": "WITH v AS (SELECT value::DOUBLE AS value FROM events WHERE value IS NOT NULL), n AS (SELECT count(*) AS n, round(avg(value), 6) AS avg FROM v), r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS row FROM v) SELECT avg, max(value) FILTER (row = n * 50 // 100) AS q50, max(value) FILTER (row = n * 90 // 100) AS q90, max(value) FILTER (row = n * 95 // 100) AS q95 FROM r, n GROUP BY avg",
     }
     out["wand"] = out["maxscore"] = out["ranked_or"]
     out |= {f"verify_{c}": _constant("codec", c, 128, ("doc", "freq")) for c in BLOCK_CODECS}
     out |= {f"verify_{c}": _constant("codec", c, 4096, ("doc",)) for c in SEQUENCE_CODECS}
     out |= {f"verify_ans_{c}": _constant("context", c, 256, ("doc", "freq")) for c in ("max", "minmax", "med90p", "medmax")}
+    out["verify_ans_packed"] = _constant("context", "packed", 256, ("doc", "freq"))
     return out

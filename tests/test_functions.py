@@ -56,22 +56,54 @@ def test_sizes_of_the_fixture(spark):
     assert [tuple(r) for r in d.orderBy("u", "n").collect()] == want
 
 
-@pytest.mark.parametrize("size", [1, 10, 11, 256])
-def test_ans_round_trip(size):
-    rng = np.random.default_rng(size)
-    for most in (1, 2, 600, 1 << 25):
-        v = rng.integers(0, most, size).tolist()
-        counts: dict = {}
-        for x in v:
-            s = ans.symbol(x + 1)[0]
-            counts[s] = counts.get(s, 0) + 1
-        model = ans.Model(counts)
-        assert model.size & (model.size - 1) == 0
+def _counts(values, packed=False):
+    x = np.asarray(values) + 1
+    s = ans.magnitudes(x) if packed else ans.symbols(x)[0]
+    return dict(zip(*(y.tolist() for y in np.unique(s, return_counts=True)), strict=True))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_ans_round_trip(packed):
+    rng = np.random.default_rng(5)
+    for most in (2, 3, 600, 70_000, 1 << 25):
+        blocks = [rng.integers(0, most, n) for n in (1, 2, 10, 11, 100, 256, 256, 256)] + [np.zeros(20, np.int64)]
+        flat = np.concatenate(blocks)
+        model = ans.MagnitudeModel(_counts(flat, True), int(flat.max()) + 1) if packed else ans.ByteModel(_counts(flat))
+        assert model.size & (model.size - 1) == 0 and model.size == (int((model.freq * ans.widths(int(flat.max()) + 1)).sum()) if packed else int(model.freq.sum()))
         for documents in (True, False):
-            assert ans.decode_block(ans.encode_block(v, model, documents), size, model, documents) == v
-    for x in [1, 2, 256, 257, 2**16, 2**16 + 1, 2**24, 2**24 + 1, 2**32 - 1]:
-        s, e, k = ans.symbol(x)
-        assert ans.value(s, e) == x and ans.exception_size(s) == k
+            for wide in (True, False):
+                ids, sizes = [int(b.any()) for b in blocks], [len(b) for b in blocks]
+                data = ans.encode_blocks(blocks, ids, {1: model}, documents, wide)
+                back = ans.decode_blocks(data, sizes, {1: model}, documents, wide, [int(b.sum()) for b in blocks])
+                assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+                assert not documents or packed or data[0] == b"" == data[-1]
+    x = np.array([1, 2, 256, 257, 2**16, 2**16 + 1, 2**24, 2**24 + 1, 2**32 - 1])
+    s, k = ans.symbols(x)
+    assert s.tolist() == [1, 2, 256, 257, 512, 513, 768, 769, 1023] and np.array_equal(ans.exception_sizes(s), k)
+
+
+def test_ans_block_by_hand():
+    """Two symbols of 16 slots each in a frame of 32: each value doubles the state, which starts at 0, and adds its own half."""
+    model = ans.ByteModel({1: 50, 2: 50})
+    assert model.size == 32 and model.freq[1:3].sum() + model.freq[0] == 32 and model.freq[1] == model.freq[2]
+    f = int(model.freq[1])
+    state = 0
+    for v in (1, 0, 1):  # from the last to the first
+        state = state // f * 32 + state % f + int(model.base[v + 1])
+    data = ans.encode_blocks([np.array([1, 0, 1])], [1], {1: model}, False, False)[0]
+    size = (state.bit_length() + 7) // 8
+    assert data == bytes([1 << 4 | size, 0]) + state.to_bytes(size, "little")
+    assert ans.encode_blocks([np.array([0, 0])], [0], {1: model}, False, False) == [b"\0"]
+
+
+def test_ans_sizes_are_near_the_entropy():
+    rng = np.random.default_rng(6)
+    v = rng.geometric(0.3, 256 * 40) - 1
+    c = np.unique(v, return_counts=True)[1]
+    bits = float((c * np.log2(c.sum() / c)).sum())
+    for model in (ans.ByteModel(_counts(v)), ans.MagnitudeModel(_counts(v, True), int(v.max()) + 1)):
+        coded = sum(map(len, ans.encode_blocks(v.reshape(40, 256), [1] * 40, {1: model}, False, False)))
+        assert bits / 8 < coded < 1.25 * bits / 8 + 40 * 8
 
 
 def test_merging_and_magnitudes():
@@ -79,10 +111,11 @@ def test_merging_and_magnitudes():
     counts = {m: {int(s): int(c) for s, c in zip(rng.integers(1, 1025, 20), rng.integers(1, 99, 20), strict=True)} for m in range(80)}
     to = ans.merged(counts, 10)
     assert to[0] == 0 and set(to.values()) == set(range(11))
-    f = ans.magnitude_frequencies({0: 100, 1: 50, 3: 20, 5: 1}, 30)
-    width = {0: 1, 1: 1, 3: 4, 5: 14}
-    total = sum(x * width[m] for m, x in f.items())
-    assert total & (total - 1) == 0 and min(f.values()) > 0
+    for counts, most in (({0: 100, 1: 50, 3: 20, 5: 1}, 30), ({0: 10**9, 1: 5, 20: 1}, 1 << 20), ({3: 7}, 6)):
+        f = ans.magnitude_frequencies(counts, most)
+        total = int((f * ans.widths(most)).sum())
+        assert total & (total - 1) == 0 and all(f[m] > 0 for m in counts)
+    assert ans.widths(30)[:7].tolist() == [1, 1, 2, 4, 8, 14, 0]
 
 
 def test_partitions():
