@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import bits
 from .functions.bm25 import query_term_weight
-from .functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS
+from .functions.codecs import BLOCK_CODECS
+from .functions.sequences import INDEX_TYPES
 from .functions.text import stem
 from .operators import coding, index, layout, retrieval
 from .oracles import oracle_sql  # noqa: F401
@@ -77,10 +78,11 @@ def _accessors(lists: DataFrame) -> DataFrame:
     return index.positioned(lists).select("term_id", "doc_id", "freq", "position", "size")
 
 
-def _verify(docs: DataFrame) -> DataFrame:
-    p = index.postings(docs)
-    back = p.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("freq")))).groupBy("term", "doc_id").agg(F.count("*").alias("freq"))
-    return index.verify(p, back)
+def _verify(docs: DataFrame, i: index.Index) -> DataFrame:
+    """Postings of the stored index against those of the documents: lacking and additional ones, how many there are, and a checksum."""
+    d = index.verify(index.postings(docs), i.postings)
+    sums = i.postings.agg(F.count("*").alias("postings"), F.sum(F.col("freq") * (F.col("doc_id") + 1) * F.length("term")).alias("checksum"))
+    return d.crossJoin(sums)  # one row on either side
 
 
 def _stats_line(lists: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ _QUERIES: dict[str, Query] = {
     "collection_stats": _docs(lambda d: index.collection_stats(d).withColumn("avg_len", F.round("avg_len", 9))),
     "doc_stats": _docs(lambda d: index.doc_stats(d).withColumn("norm_len", F.round("norm_len", 9))),
     "term_stats": _docs(lambda d: index.term_stats(index.weighted_postings(d)).withColumn("max_term_weight", F.round("max_term_weight", 9))),
-    "verify_postings": _docs(_verify),
+    "verify_postings": lambda spark, sf_dir: _verify(table(spark, sf_dir, "documents"), index.stored(table(spark, sf_dir, "documents"), sf_dir)),
     "stemmed_terms": _docs(_stemmed),
     "query_tokens": lambda spark, _: retrieval.query_tokens(retrieval.query_table(spark)),
     "query_terms": lambda spark, _: retrieval.query_terms(retrieval.query_table(spark)),
@@ -149,8 +151,8 @@ _QUERIES: dict[str, Query] = {
     "partition_lengths": _lists(coding.partition_lengths),
     "latency_quantiles": lambda spark, sf_dir: layout.quantiles(table(spark, sf_dir, "events").select("value")),
 }
-_QUERIES |= {f"verify_{c}": _lists(lambda p, c=c: coding.verify_blocks(p, c).drop("bytes")) for c in BLOCK_CODECS}
-_QUERIES |= {f"verify_{c}": _lists(lambda p, c=c: coding.verify_sequences(p, c).drop("bytes")) for c in SEQUENCE_CODECS}
+_QUERIES |= {f"verify_{c}": _lists(lambda p, c=c: coding.verify_blocks(p, c) if c in ("vbyte", "u32") else coding.verify_blocks(p, c).drop("bytes")) for c in BLOCK_CODECS}
+_QUERIES |= {f"list_bits_{c}": _lists(lambda p, c=c: coding.list_bits(p, c)) for c in INDEX_TYPES}
 _QUERIES |= {f"verify_ans_{c}": _lists(lambda p, c=c: coding.verify_ans(p, c, merge=c in ("med90p", "medmax")).drop("bytes")) for c in ("max", "minmax", "med90p", "medmax")}
 _QUERIES |= {"verify_ans_packed": _lists(lambda p: coding.verify_ans(p, "max", merge=False, packed=True).drop("bytes"))}
 _QUERIES |= {f"sizes_{c}": _lists(lambda p, c=c: coding.verify_blocks(p, c)) for c in ("simple16", "varint", "interpolative", "optpfor")}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ans
-from ..functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS
+from ..functions import ans, sequences
+from ..functions.codecs import BLOCK_CODECS
 from ..functions.partition import optimal_partition
 from .layout import magnitude_counts, streams, symbol_counts, with_contexts
 
@@ -21,51 +21,57 @@ def _summed(d: DataFrame, **names) -> DataFrame:
 
 
 def encode_blocks(lists: DataFrame, codec: str, size: int = 128) -> DataFrame:
-    """stream, term_id, block_no, n, payload."""
-    encode, _ = BLOCK_CODECS[codec]
+    """stream, term_id, block_no, n, list_size, payload, wrong (does it decode to anything else?). The sum of a block's gaps is in
+    the block table, that of its frequencies is not."""
+    encode, decode = BLOCK_CODECS[codec]
 
     def run(frames):
         for f in frames:
-            f["payload"] = [encode([int(x) for x in v]) for v in f["values"]]
-            yield f[["stream", "term_id", "block_no", "n", "payload"]]
+            known = [None if k != k else int(k) for k in f["known"].tolist()]
+            values = [v.tolist() for v in f["values"]]
+            f["payload"] = [encode(v, k) for v, k in zip(values, known, strict=True)]
+            f["wrong"] = [int(decode(p, len(v), k) != v) for p, v, k in zip(f["payload"], values, known, strict=True)]
+            yield f[["stream", "term_id", "block_no", "n", "list_size", "payload", "wrong"]]
 
-    return streams(lists, size).mapInPandas(run, "stream string, term_id long, block_no long, n long, payload binary")
+    return streams(lists, size).mapInPandas(run, "stream string, term_id long, block_no long, n long, list_size long, payload binary, wrong long")
 
 
 def verify_blocks(lists: DataFrame, codec: str, size: int = 128) -> DataFrame:
     """codec, stream, blocks, postings, bytes, mismatches (blocks that decode to anything else; 0 is right)."""
-    encode, decode = BLOCK_CODECS[codec]
+    d = encode_blocks(lists, codec, size).select("stream", F.lit(1).alias("blocks"), F.col("n").alias("postings"), F.octet_length("payload").cast("long").alias("bytes"), F.col("wrong").alias("mismatches"))
+    return _summed(d, codec=codec)
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for stream, values in zip(f["stream"], f["values"], strict=True):
-                v = [int(x) for x in values]
-                data = encode(v)
-                rows.append((stream, 1, len(v), len(data), int(decode(data, len(v)) != v)))
-            yield pd.DataFrame(rows, columns=["stream", "blocks", "postings", "bytes", "mismatches"])
 
-    return _summed(streams(lists, size).mapInPandas(run, _STATS), codec=codec)
+#: Documents of a segment: a list's postings in one segment are coded by one task, in the segment's universe.
+SEGMENT = 1 << 24
 
 
-def verify_sequences(lists: DataFrame, codec: str, part: int = 4096) -> DataFrame:
-    """The same for sequence codecs, over pieces of a list of up to `part` postings, each from its own base."""
-    encode, decode = SEQUENCE_CODECS[codec]
+def encode_lists(lists: DataFrame, kind: str) -> DataFrame:
+    """term_id, segment, n, docs_bits, freqs_bits, docs_payload, freqs_payload, wrong: lists as sequences of an index type, whole in
+    each segment of SEGMENT documents. wrong: does any way of reading them back (all, by position, by document) fail?"""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for gaps in f["values"]:
-                v, at = [], -1
-                for g in gaps:
-                    at += int(g) + 1
-                    v.append(at)
-                v = [x - v[0] for x in v]
-                data = encode(v, v[-1] + 1)
-                rows.append(("doc", 1, len(v), len(data), int(decode(data, v[-1] + 1, len(v)) != v)))
-            yield pd.DataFrame(rows, columns=["stream", "blocks", "postings", "bytes", "mismatches"])
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("doc_id")
+        docs, freqs, universe = f["doc_id"].to_numpy() - int(f["segment"].iloc[0]) * SEGMENT, f["freq"].to_numpy(), int(f["universe"].iloc[0])
+        d, q = sequences.write_list(kind, docs, freqs, universe)
+        data = sequences.pack(d), sequences.pack(q)
+        a, b = sequences.read_list(kind, *map(sequences.unpack, data), universe)
+        some = np.unique(np.linspace(0, len(docs) - 1, 9).astype(int)).tolist()
+        good = np.array_equal(a.decode(), docs) and np.array_equal(b.decode(), freqs)
+        good = good and all(a.move(i) == (i, docs[i]) and b.move(i) == (i, freqs[i]) and a.next_geq(int(docs[i])) == (i, docs[i]) for i in some)
+        good = good and a.next_geq(int(docs[-1]) + 1) == (len(docs), universe) == a.move(len(docs))
+        row = (int(f["term_id"].iloc[0]), int(f["segment"].iloc[0]), len(docs), len(d), len(q), *data, int(not good))
+        return pd.DataFrame([row], columns=["term_id", "segment", "n", "docs_bits", "freqs_bits", "docs_payload", "freqs_payload", "wrong"])
 
-    return _summed(streams(lists, part).where("stream = 'doc'").mapInPandas(run, _STATS), codec=codec)
+    d = lists.withColumn("segment", F.floor(F.col("doc_id") / SEGMENT))
+    d = d.withColumn("universe", F.least(F.lit(SEGMENT), F.col("num_docs") - F.col("segment") * SEGMENT))
+    return d.groupBy("term_id", "segment").applyInPandas(run, "term_id long, segment long, n long, docs_bits long, freqs_bits long, docs_payload binary, freqs_payload binary, wrong long")
+
+
+def list_bits(lists: DataFrame, kind: str) -> DataFrame:
+    """term_id, n, docs_bits, freqs_bits, mismatches: measured on the encoded lists."""
+    d = encode_lists(lists, kind).groupBy("term_id")
+    return d.agg(F.sum("n").alias("n"), F.sum("docs_bits").alias("docs_bits"), F.sum("freqs_bits").alias("freqs_bits"), F.sum("wrong").alias("mismatches"))
 
 
 def ans_models(lists: DataFrame, context: str = "medmax", merge: bool = True, packed: bool = False) -> tuple[dict, dict]:
@@ -144,23 +150,37 @@ def merged_models(lists: DataFrame, context: str = "medmax") -> DataFrame:
     return model_tables(lists, context).select("stream", "context", "model_id", F.col("frame").alias("size"))
 
 
-def optimal_partitions(lists: DataFrame) -> DataFrame:
-    """term_id, part, n, base, last: near-optimal partitions of each list. The choice goes along a list, so a list is one task's."""
+def optimal_partitions(lists: DataFrame, freqs: bool = False) -> DataFrame:
+    """term_id, part, n, base, last: near-optimal partitions of each list's documents, or of its frequencies' running sums.
+
+    The choice goes along a list, so a list's postings in one segment of SEGMENT documents are one task's; parts are numbered
+    through the segments."""
+    base = sequences.STRICT if freqs else sequences.INDEXED
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        v = sorted(int(x) for x in f["doc_id"])
-        ends = optimal_partition(v, int(f["num_docs"].iloc[0]))
+        f = f.sort_values("doc_id")
+        v = (f["freq"].cumsum() if freqs else f["doc_id"] - int(f["segment"].iloc[0]) * SEGMENT).tolist()
+        ends = optimal_partition(v, v[-1] + 1 if freqs else int(f["universe"].iloc[0]), cost=base.bits)
         starts = [0, *ends[:-1]]
-        rows = [(int(f["term_id"].iloc[0]), k, z - a, v[0] if a == 0 else v[a - 1] + 1, v[z - 1]) for k, (a, z) in enumerate(zip(starts, ends, strict=True))]
-        return pd.DataFrame(rows, columns=["term_id", "part", "n", "base", "last"])
-
-    return lists.select("term_id", "doc_id", "num_docs").groupBy("term_id").applyInPandas(run, "term_id long, part long, n long, base long, last long")
-
-
-def partition_lengths(lists: DataFrame, least: int = 16) -> DataFrame:
-    """One row: mean postings of a partition over lists of `least` postings or more."""
-    d = optimal_partitions(lists).groupBy("term_id").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where(F.col("n") >= least)
-    return d.agg(F.count("*").alias("lists"), (F.sum("n") / F.sum("parts")).alias("mean_length"))
+        shift = 0 if freqs else int(f["segment"].iloc[0]) * SEGMENT
+        rows = [(int(f["term_id"].iloc[0]), int(f["segment"].iloc[0]), k, z - a, shift + (v[0] if a == 0 else v[a - 1] + 1), shift + v[z - 1]) for k, (a, z) in enumerate(zip(starts, ends, strict=True))]
+        return pd.DataFrame(rows, columns=["term_id", "segment", "k", "n", "base", "last"])
+
+    d = lists.withColumn("segment", F.floor(F.col("doc_id") / SEGMENT))
+    d = d.withColumn("universe", F.least(F.lit(SEGMENT), F.col("num_docs") - F.col("segment") * SEGMENT))
+    d = d.groupBy("term_id", "segment").applyInPandas(run, "term_id long, segment long, k long, n long, base long, last long")
+    part = F.row_number().over(Window.partitionBy("term_id").orderBy("segment", "k")).cast("long") - 1
+    return d.select("term_id", part.alias("part"), "n", "base", "last")
+
+
+def partition_lengths(lists: DataFrame, least: int = 4096) -> DataFrame:
+    """stream, lists, mean_length: mean postings of a partition over lists of `least` postings or more, of documents and frequencies."""
+    both = None
+    for stream, freqs in (("doc", False), ("freq", True)):
+        d = optimal_partitions(lists, freqs).groupBy("term_id").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where(F.col("n") >= least)
+        d = d.agg(F.count("*").alias("lists"), F.try_divide(F.sum("n").cast("double"), F.sum("parts")).alias("mean_length")).select(F.lit(stream).alias("stream"), "lists", "mean_length")
+        both = d if both is None else both.union(d)
+    return both
 
 
 def decode_stats(lists: DataFrame, context: str = "medmax") -> DataFrame:

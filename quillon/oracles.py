@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.bits import MAG2SEL
-from .functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS
+from .functions.codecs import BLOCK_CODECS
 from .operators.retrieval import QUERIES
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "collection_stats": f"{_P} SELECT num_docs, num_tokens, round(avg_len, 9) AS avg_len FROM c",
         "doc_stats": f"{_P} SELECT doc_id, doc_len, round(doc_len / avg_len, 9) AS norm_len FROM l, c",
         "term_stats": f"{_W} SELECT term, df, cf, round(max_term_weight, 9) AS max_term_weight FROM st",
-        "verify_postings": "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra",
+        "verify_postings": f"{_P} SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, count(*)::BIGINT AS postings, sum(freq * (doc_id + 1) * length(term))::BIGINT AS checksum FROM p",
         "query_tokens": f"{_Q} SELECT query_id, pos, token FROM qt",
         "query_terms": f"{_Q} SELECT * FROM q",
         "query_map": f"{_Q} SELECT query_id, pos, term_id FROM qt JOIN lex ON token = term WHERE query_id NOT IN (SELECT query_id FROM qt LEFT JOIN lex ON token = term WHERE term_id IS NULL)",
@@ -147,7 +147,17 @@ def oracle_sql() -> dict[str, str]:
     }
     out["wand"] = out["maxscore"] = out["ranked_or"]
     out |= {f"verify_{c}": _constant("codec", c, 128, ("doc", "freq")) for c in BLOCK_CODECS}
-    out |= {f"verify_{c}": _constant("codec", c, 4096, ("doc",)) for c in SEQUENCE_CODECS}
+    plain = f"({_O} + 1)"
+    out["list_bits_ef"] = f"{_SIZES} SELECT term_id, n, ({_HEADER} + {_ef(_U, _N)})::BIGINT AS docs_bits, {_strict_ef(plain, _N)}::BIGINT AS freqs_bits, 0::BIGINT AS mismatches FROM z"
+    out["list_bits_single"] = f"{_SIZES} SELECT term_id, n, ({_HEADER} + {_COST})::BIGINT AS docs_bits, {_FCOST} AS freqs_bits, 0::BIGINT AS mismatches FROM z"
+    sums = "c AS (SELECT term_id, position, size, sum(freq) OVER w AS upto, sum(freq) OVER w - freq AS before FROM p WINDOW w AS (PARTITION BY term_id ORDER BY position ROWS UNBOUNDED PRECEDING))"
+    fkind, fcost = _cheapest(_PU, _N, _strict_ef(_PU, _N, 63), _bitmap(_PU, _N, 63))
+    fparts = f"fg AS (SELECT term_id, position // 128 AS part, count(*)::BIGINT AS n, max(size) AS size, CASE WHEN min(position) = 0 THEN min(upto) ELSE min(before) + 1 END AS base, max(upto) AS last FROM c GROUP BY 1, 2), fe AS (SELECT *, {fcost} AS bits FROM fg), ff AS (SELECT term_id, count(*)::BIGINT AS k, sum(bits)::BIGINT AS body, max(size) AS n, max(last) + 1 AS u, max(last) AS last, min(base) AS base FROM fe GROUP BY 1)"
+    whole = f"(CASE WHEN k = 1 THEN {_gamma('(k - 1)')} + {_ceil_log2('u')} + (CASE WHEN n > 1 THEN (CASE WHEN last + 1 = u THEN 1 ELSE {_delta('(last - base)')} END) ELSE 0 END) + body ELSE {_gamma('(k - 1)')} + {_gamma(_ceil_log2('(body + 1)'))} + {_ef('u', '(k + 1)')} + (k - 1) * {_ceil_log2('(body + 1)')} + body END)::BIGINT"
+    head = _HEADER.replace("occurrences", "(ff.u - 1)")
+    out["list_bits_uniform"] = f"{_PARTS}, f AS (SELECT term_id, count(*)::BIGINT AS k, sum(bits)::BIGINT AS body, max(size) AS n, max(universe) AS u, max(last) AS last, min(base) AS base FROM e GROUP BY 1), db AS (SELECT term_id, {whole} AS bits FROM f), {sums}, {fparts}, fb AS (SELECT term_id, {whole} AS bits FROM ff) SELECT ff.term_id, ff.n, (db.bits + {head})::BIGINT AS docs_bits, fb.bits AS freqs_bits, 0::BIGINT AS mismatches FROM ff JOIN db USING (term_id) JOIN fb USING (term_id)"
+    for c, doc, freq in (("vbyte", "vbyte_doc_bytes", "vbyte_freq_bytes"), ("u32", "u32_bytes", "u32_bytes")):
+        out[f"verify_{c}"] = f"{_blocks(128)} " + " UNION ALL ".join(f"SELECT '{c}' AS codec, '{s}' AS stream, count(*)::BIGINT AS blocks, sum(n)::BIGINT AS postings, sum({x})::BIGINT AS bytes, 0::BIGINT AS mismatches FROM b" for s, x in (("doc", doc), ("freq", freq)))
     out |= {f"verify_ans_{c}": _constant("context", c, 256, ("doc", "freq")) for c in ("max", "minmax", "med90p", "medmax")}
     out["verify_ans_packed"] = _constant("context", "packed", 256, ("doc", "freq"))
     return out

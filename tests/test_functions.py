@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import ans, bits
-from quillon.functions.codecs import BLOCK_CODECS, SEQUENCE_CODECS, BitReader, BitWriter, vbyte64_decode, vbyte64_encode
+from quillon.functions.codecs import BLOCK_CODECS, BitReader, BitWriter, vbyte64_decode, vbyte64_encode
 from quillon.functions.partition import FIXED, indexed_bits, optimal_partition
 from quillon.functions.text import porter
 
@@ -27,19 +27,6 @@ def test_block_edges(codec):
     assert decode(encode([]), 0) == []
 
 
-@pytest.mark.parametrize("codec", sorted(SEQUENCE_CODECS))
-@pytest.mark.parametrize("gap", [1.1, 1.9, 3, 10])
-def test_sequence_round_trip(codec, gap):
-    encode, decode = SEQUENCE_CODECS[codec]
-    rng = np.random.default_rng(42)
-    u = int(2000 * gap)
-    v = np.sort(rng.choice(u, 2000, replace=False)).tolist()
-    assert decode(encode(v, u), u, len(v)) == v
-    assert decode(encode([0], 1), 1, 1) == [0] and decode(encode([1], 2), 2, 1) == [1]
-    with pytest.raises((ValueError, OverflowError)):
-        encode([5, 3], 10)
-
-
 def test_integer_codes():
     w = BitWriter()
     for x in range(300):
