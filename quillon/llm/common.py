@@ -23,7 +23,7 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
 
     Operators discard() what they are done with; what a result still reads is deleted when the driver's JVM ends."""
@@ -31,7 +31,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     files, p = _file_system(spark, path)
     files.deleteOnExit(p)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out

@@ -219,7 +219,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def edge(part, i, head, tail):
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.nulls(1, t) for _, t, _ in _COLUMNS), pa.array([part], pa.int32()), pa.array([head], pa.string()), pa.array([tail], pa.string())], names=names)
 
-    found = materialize(d.select("doc_id", "text").mapInArrow(run, _SCHEMA + ", part int, head string, tail string"), "edits")
+    found = materialize(d.select("doc_id", "text").mapInArrow(run, _SCHEMA + ", part int, head string, tail string"), "edits", "zstd")  # hex digits take half the room
     # Two rows for each range: the last row of a range is followed by the first text of the next range that has rows.
     parts = sorted(r["part"] for r in found.where("head is not null").select("part").collect())
     after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, to int")

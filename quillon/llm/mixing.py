@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import materialize, word_count
 
 #: Rows that a range of keys aims at, and cells for each doubling of a key that ranges are cut from.
-RANGE_ROWS, CELLS = 1 << 16, 4096
+RANGE_ROWS, CELLS = 1 << 12, 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
