@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import collect_garbage, discard, materialize
 from .components import connected_components
 
 RADIUS = 4
@@ -308,13 +308,24 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
 BLOCK = 1 << 14
 #: Bits of the wide fingerprint, pivots that all buckets try side by side, and what the order of shingles is made of: up to
 #: COMMON shingles that OFTEN or more texts of a task's part have. The order changes the work, never the links.
-SKETCH, ROUNDS, OFTEN, COMMON = 1024, 3, 8, 1 << 17
+SKETCH, ROUNDS, OFTEN, COMMON = 512, 2, 8, 1 << 17
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The low 40 bits of each hash, for the check of a pair: two sets of 1,000 meet by chance once in a million pairs."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return np.sort(out.view(np.uint64).ravel())
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted arrays without repeats; 1 for two empty ones."""
     both = np.concatenate([a, b])
@@ -366,18 +377,25 @@ def _slices(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray):
     cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1) != 0), len(rows))
     at = 0
     while at < len(rows):
-        end = int(cuts[np.searchsorted(cuts, min(at + (1 << 14), len(rows)))])
+        end = int(cuts[np.searchsorted(cuts, min(at + (1 << 15), len(rows)))])
         yield rows[at:end], group[at:end]
         at = end
 
 
 def _small_links(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """Yields all pairs (i, j) of one key that may_link() among rows of small buckets, compared bit-sliced side by side."""
-    for mine, group in _slices(rows, key, sizes):
-        i, j = shift_links(sketches[mine], group, min(_apart(sizes[mine], similarity), SKETCH))
-        i, j = mine[i], mine[j]
-        ok = may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)
-        yield i[ok], j[ok]
+    """Yields all pairs (i, j) of one key that may_link() among rows of small buckets: row k against row k + s for each shift s."""
+    _, many = _buckets(key[rows])
+    rows = rows[np.argsort(-np.repeat(many, many), kind="stable")]  # later shifts look at the larger buckets only
+    s = 1
+    while s < len(rows):
+        same = np.flatnonzero(key[rows[:-s]] == key[rows[s:]])
+        if not len(same):
+            return
+        for at in range(0, len(same), 1 << 15):
+            i, j = rows[same[at : at + (1 << 15)]], rows[same[at : at + (1 << 15)] + s]
+            ok = may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)
+            yield i[ok], j[ok]
+        rows, s = rows[: same[-1] + s + 1], s + 1
 
 
 def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -472,7 +490,7 @@ def _whole_keys(batches, columns):
         if not b.num_rows:
             continue
         got = columns(b)
-        if rows >= 1 << 14:
+        if rows >= 1 << 15:
             last = got[0] != held[-1][0][-1]
             cut = int(np.argmax(last)) if last.any() else len(last)  # how far the last key goes on
             held.append([x[:cut] for x in got])
@@ -565,30 +583,50 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     d = told.where("digest is not null").groupBy("digest").agg(first)
     d = materialize(d.select("digest", "first.doc_id", "first.text_hash").withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
-    def texts_of(nodes):
-        """node, text of the nodes in d; a node twice if a row is there twice."""
+    def of_nodes(made, nodes):
+        """made (doc_id, text_hash, ...) -> node, ... of the nodes, whose first rows these are; a node as often as its row is there."""
         wanted = nodes.select("node", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
-        return texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select("node", "text")
+        return made.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).drop("doc_id", "text_hash", "first_id", "first_hash")
 
     def deal(batches):
-        for node, some in _once(batches):
-            keys = [prefix(np.unique(shingle_hashes(t, words)), similarity, *held.value) for t in some]
-            node = np.repeat(node, [len(k) for k in keys])
-            keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], names=["key", "node"])
-
-    every = materialize(texts_of(d).mapInArrow(deal, "key long, node long"), "prefixes")
-    several = materialize(every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "several")
-    dealt = materialize(every.join(several.hint("merge"), "key"), "dealt")  # written keys, so adaptive execution can split a hot one
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                keys = [prefix(np.unique(shingle_hashes(t, words)), similarity, *held.value).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "keys"])
+
+    def shared(batches):
+        """Of rows sorted by key and node, those whose key another node has too, each once. Held is the last row alone."""
+        last = None  # key, node, has another node come with this key?
+        for b in batches:
+            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if last is not None:
+                key, node = np.append(last[0], key), np.append(last[1], node)
+            once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node = key[once], node[once]
+            if not len(key):
+                continue
+            before = np.append(last is not None and last[2], key[1:] == key[:-1])
+            keep = before | np.append(key[1:] == key[:-1], False)
+            last = key[-1], node[-1], bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], names=["key", "node"])
+        if last is not None and last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["key", "node"])
+
+    made = texts.mapInArrow(deal, "doc_id long, text_hash long, keys array<long>")
+    every = of_nodes(made, d).select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    dealt = materialize(every.mapInArrow(shared, "key long, node long"), "dealt")
+    collect_garbage(spark)
 
     def sets(batches):
         for node, some in _once(batches):
-            h = [np.unique(shingle_hashes(t, words)) for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
+            for at in range(0, len(some), 500):
+                h = [np.unique(shingle_hashes(t, words)) for t in some[at : at + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
 
-    known = texts_of(dealt.select("node").distinct().join(d, "node")).mapInArrow(sets, "node long, size int, sketch binary, shingles binary")
+    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, shingles binary")
     known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "shingles")]), "shingles")  # the same row twice has equal sets
+    collect_garbage(spark)
     buckets = in_blocks(dealt).join(known.select("node", "size", "sketch").hint("merge"), "node").select("task", "key", "node", "size", "sketch")
 
     def columns(b):
@@ -605,10 +643,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     links = buckets.repartition("task").sortWithinPartitions("task", "node").mapInArrow(candidates, "a long, b long, key long")
     links = materialize(links.distinct(), "candidates")
+    collect_garbage(spark)
 
     def verify(batches):
         for b in batches:
-            a, z = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
+            a, z = ([unpacked(x) for x in b.column(k).to_pylist()] for k in (2, 3))
             holds = [similarity_of(x, y) >= similarity for x, y in zip(a, z, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
 
@@ -619,6 +658,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         return materialize(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, holds boolean"), "verified")
 
     tested = [verified(links.select("a", "b").distinct())]
+    collect_garbage(spark)
     comps = connected_components(tested[0].where("holds").select("a", "b"))
     # A forest's link that does not hold leaves pieces apart that other pairs of its bucket may join: all those are tested.
     failed = materialize(links.join(tested[0].where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
@@ -641,7 +681,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     out = rows.join(whole.withColumnRenamed("digest", "digest_").hint("merge"), F.col("digest") == F.col("digest_"))
     kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
     out = materialize(out.select("doc_id", "text_hash", F.col("low.doc_id").alias("component_id"), kept.alias("kept"), "n"), "near-groups")
-    discard(told, d, every, several, dealt, known, links, failed, comps, *tested)
+    discard(told, d, dealt, known, links, failed, comps, *tested)
     return out
 
 
