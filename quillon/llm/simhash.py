@@ -315,6 +315,21 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """As sketch(), of a power of two of bits, twice the shingles at least: a wider one folds to a narrower by halves."""
+    m = max(SKETCH, 1 << max(0, 2 * len(shingles) - 1).bit_length())
+    on = np.bincount((shingles >> np.uint64(17)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Differing bits at the narrower one's width."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    m = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def packed(shingles: np.ndarray) -> bytes:
     """The low 40 bits of each hash, for the check of a pair: two sets of 1,000 meet by chance once in a million pairs."""
     return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -622,10 +637,10 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         for node, some in _once(batches):
             for at in range(0, len(some), 500):
                 h = [np.unique(shingle_hashes(t, words)) for t in some[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([wide_sketch(x) for x in h], pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "wide", "shingles"])
 
-    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, shingles binary")
-    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "shingles")]), "shingles")  # the same row twice has equal sets
+    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, wide binary, shingles binary")
+    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "wide", "shingles")]), "shingles")  # the same row twice has equal sets
     collect_garbage(spark)
     buckets = in_blocks(dealt).join(known.select("node", "size", "sketch").hint("merge"), "node").select("task", "key", "node", "size", "sketch")
 
@@ -651,11 +666,26 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             holds = [similarity_of(x, y) >= similarity for x, y in zip(a, z, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
 
+    def screen(batches):
+        for b in batches:
+            a, z = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            d = np.array([wide_distance(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d <= (1 - similarity) / (1 + similarity) * (a + z) + 1e-6)], names=["a", "b", "may"])
+
+    def joined(pairs, *columns):
+        """pairs (a, b) with columns of a, then of b."""
+        for side in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).hint("merge"), side)
+        return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
     def verified(pairs):
-        """pairs (a, b) -> a, b, holds."""
-        pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
-        pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
-        return materialize(pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long, holds boolean"), "verified")
+        """pairs (a, b) -> a, b, holds. Wide sketches, a tenth of the sets, screen first and part no link; then the sets decide."""
+        screened = materialize(joined(pairs, "size", "wide").mapInArrow(screen, "a long, b long, may boolean"), "screened")
+        collect_garbage(spark)
+        holds = joined(screened.where("may").select("a", "b"), "shingles").mapInArrow(verify, "a long, b long, holds boolean")
+        out = materialize(holds.union(screened.where("not may")), "verified")
+        discard(screened)
+        return out
 
     tested = [verified(links.select("a", "b").distinct())]
     collect_garbage(spark)

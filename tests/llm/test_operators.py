@@ -218,6 +218,19 @@ def test_one_row_of_a_group_stays(spark):
     assert len(got) == 4 and {(1, a, "en", "s", 1), (7, b, "en", "s", 1), (9, c, "en", "s", 1)} < set(got) and got[3][:2] in ((None, e), (None, e + " more"))
 
 
+def test_wide_sketches_part_no_link():
+    rng = np.random.default_rng(9)
+    for n in (3, 40, 300, 5000):
+        for change in (0.0, 0.05, 0.1, 0.3):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(change * n) :], rng.integers(0, 2**63, int(change * n), dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            assert simhash.wide_distance(simhash.wide_sketch(a), simhash.wide_sketch(b)) <= apart
+            assert np.array_equal(np.sort(a & np.uint64((1 << 40) - 1)), simhash.unpacked(simhash.packed(a)))
+    a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3000, 2500))
+    assert simhash.wide_distance(simhash.wide_sketch(a), simhash.wide_sketch(b)) > 0.222 * 2750
+
+
 def test_similarity_of():
     x = lambda *v: np.array(v, np.uint64)
     assert simhash.similarity_of(x(1, 2, 3, 4), x(1, 2, 3, 4, 5)) == 0.8 and simhash.similarity_of(x(), x()) == 1 and simhash.similarity_of(x(), x(1)) == 0
