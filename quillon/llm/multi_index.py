@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
+from .simhash import SALTS
 
 THRESHOLD = 0.95
 #: Distinct vectors that the codebooks are fitted on, at most; the index itself holds every vector.
 FIT_ROWS = 20_000
-#: Vectors for each cell of the grid that the codebook size aims at, and the largest codebook.
-PER_CELL, MAX_CODES = 8, 1024
+#: Vectors for each cell of the grid that the codebook size aims at, and the largest codebook. Larger cells take fewer visits for
+#: the same recall, and a visit costs an exchange of a vector, against a dot product for each vector of the cell.
+PER_CELL, MAX_CODES = 64, 1024
 #: Share of pairs at exactly the threshold that the traversal must reach; nearer pairs are reached more often.
 TARGET_RECALL = 0.98
-#: Cells a vector visits at most; calibration raises an error beyond, it never cuts silently.
-MAX_VISITS = 4096
-#: A cell with more vectors shares its visitors among several tasks.
-HOT = 4096
+#: A cell with more vectors, or VISITORS times as many visits, is dealt in blocks; each two blocks of them are a task.
+HOT, VISITORS = 4096, 4
+#: Up to so many cells dealt in blocks are broadcast, beyond it joined; there are no more than the grid has.
+CELLS = 1 << 18
 
 
 def usable(values) -> np.ndarray | None:
@@ -91,8 +93,6 @@ class MultiIndex:
         y = THRESHOLD * x + (1 - THRESHOLD**2) ** 0.5 * noise / length[:, None]
         at = [self._rank(u, self.cells(v)) for u, v in ((x, y), (y, x))]
         need = int(np.ceil(np.quantile(np.minimum(*at), TARGET_RECALL))) + 1
-        if need > MAX_VISITS:
-            raise ValueError(f"{need} visits are needed for the target recall; use larger codebooks")
         return min(need, self.k * self.k)
 
     def _rank(self, x, cells):
@@ -144,12 +144,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Pairs are found by the index and verified: cosine in double precision at least `threshold`, never less. n_links: other
     vectors linked directly, equal vectors among them. A pair is found if either visits the other's cell, and then counts for
     both. Equal vectors are one node with a multiplicity, so copies are never expanded into pairs; in a dense cell each task
-    returns counts and a spanning forest, not pairs. Vectors of different lengths never link.
+    returns counts and a spanning forest, not pairs. Vectors of different lengths never link. Vectors of floats travel as floats.
     Defined results: vectors that are null, empty, zero, or with null or non-finite components link with nothing; a null
     vec_id keeps its row and names no component (null if none there has an id); repeated vec_ids are separate vectors; an
     empty table gives no rows; other columns are ignored."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    number = np.float32 if single else np.float64
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>"))
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     good = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda e: e != 0), F.lit(False))
     v = v.withColumn("embedding", F.when(good, F.col("embedding")))
@@ -166,47 +168,67 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         index = held.value
         for b in batches:
             node, mult = b.column(0).to_numpy(), b.column(1).to_numpy()
-            units = [usable(e) for e in b.column(2).to_pylist()]
+            given = b.column(2).to_pylist()
+            units = [usable(e) for e in given]
             for length in sorted({len(u) for u in units if u is not None}):
                 at = np.array([k for k, u in enumerate(units) if u is not None and len(u) == length])
-                for part in np.array_split(at, -(-len(at) // 2048)):
+                for part in np.array_split(at, -(-len(at) // max(1, min(2048, (1 << 21) // index.visits)))):
                     unit = np.array([units[k] for k in part])
-                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(mult[part]), pa.array(np.full(len(part), length, np.int32)), pa.array(index.cells(unit)), pa.array(list(index.visit(unit)), pa.list_(pa.int64())), pa.array([u.tobytes() for u in unit], pa.binary())], names=["node", "mult", "length", "home", "visits", "unit"])
-
-    p = materialize(d.select("node", "mult", "embedding").mapInArrow(place, "node long, mult long, length int, home long, visits array<long>, unit binary"), "placed")
-    hot = p.groupBy("length", "home").count().where(F.col("count") > HOT).select("length", F.col("home").alias("cell"), F.ceil(F.col("count") / HOT).cast("int").alias("shares"))
-    members = p.withColumn("cell", F.col("home")).withColumn("role", F.lit(0))
-    visitors = p.withColumn("cell", F.explode("visits")).withColumn("visits", F.lit(None).cast("array<long>")).withColumn("role", F.lit(1))
-    both = members.unionByName(visitors).join(hot, ["length", "cell"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    shares = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")))
-    both = both.withColumn("share", F.explode(shares)).select("length", "cell", "share", "role", "node", "mult", "home", "visits", "unit")
-    both = both.repartition("length", "cell", "share").sortWithinPartitions("length", "cell", "share", "role")
+                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(mult[part]), pa.array(np.full(len(part), length, np.int32)), pa.array(index.cells(unit)), pa.array(list(index.visit(unit)), pa.list_(pa.int64())), pa.array([np.asarray(given[k], number).tobytes() for k in part], pa.binary())], names=["node", "mult", "length", "home", "visits", "vector"])
+
+    p = materialize(d.select("node", "mult", "embedding").mapInArrow(place, "node long, mult long, length int, home long, visits array<long>, vector binary"), "placed")
+    load = p.select("length", "home", F.explode("visits").alias("cell")).groupBy("length", "cell")  # a vector's home is its first visit
+    load = load.agg(F.sum((F.col("cell") == F.col("home")).cast("long")).alias("members"), F.count("*").alias("visitors"))
+    load = load.select("length", "cell", F.ceil(F.greatest(F.lit(1), "members") / HOT).cast("int").alias("of_members"), F.ceil(F.col("visitors") / (VISITORS * HOT)).cast("int").alias("of_visitors"))
+    hot = materialize(load.where("of_members > 1 or of_visitors > 1"), "hot-cells")
+    hot_ = hot.hint("broadcast" if hot.count() <= CELLS else "merge")
+
+    def in_blocks(cells):
+        """cells with of_members and of_visitors, the blocks of its cell's members and visitors, and `block`, the node's of the latter."""
+        cells = cells.join(hot_, ["length", "cell"], "left")
+        cells = cells.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("of_members", "of_visitors")})
+        return cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of_visitors")).cast("int"))
+
+    # Members go to every block of visitors, visitors to every block of members. In a cell with one block of members these are
+    # visitors themselves (role 0) in their own block of visitors; elsewhere they are only visited (1), and sent as visitors (2) too.
+    members = in_blocks(p.withColumn("cell", F.col("home"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of_visitors") - 1)))
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("of_members")).cast("int")
+    role = F.when((F.col("of_members") == 1) & (F.col("with") == F.col("block")), 0).otherwise(1)
+    members = members.select("length", "cell", (mine * F.col("of_visitors") + F.col("with")).alias("share"), role.alias("role"), "node", "mult", "home", "visits", "vector")
+    visitors = in_blocks(p.withColumn("cell", F.explode("visits"))).where("cell <> home or of_members > 1")
+    visitors = visitors.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of_members") - 1)))
+    none = F.lit(None).cast("array<long>")
+    visitors = visitors.select("length", "cell", (F.col("with") * F.col("of_visitors") + F.col("block")).alias("share"), F.lit(2).alias("role"), "node", "mult", "home", none.alias("visits"), "vector")
+    both = members.unionByName(visitors).repartition("length", "cell", "share").sortWithinPartitions("length", "cell", "share", "role")
 
     def verify(groups):
         """groups: rows of one cell and share, members first."""
         counts, edges = [], []
-        for role, node, mult, home, visits, unit in groups:
-            m = int((role == 0).sum())
-            if not m or m == len(role):
+        for role, node, mult, home, visits, vector in groups:
+            m = int((role < 2).sum())
+            who = np.flatnonzero(role != 1)
+            if not m or not len(who) or len(role) == 1:
                 continue
-            vec = np.frombuffer(b"".join(unit), np.float64).reshape(len(unit), -1)
-            own, place_of = node[m:], {n: k for k, n in enumerate(node[:m].tolist())}
+            vec = np.frombuffer(b"".join(vector), number).reshape(len(vector), -1).astype(np.float64)
+            vec /= np.linalg.norm(vec, axis=1)[:, None]
+            own, place_of = node[who], {n: k for k, n in enumerate(node[:m].tolist())}
             at = np.array([place_of.get(n, -1) for n in own.tolist()])  # a member that visits its own cell
             seen = [set(x) for x in visits[:m]]
             mine, theirs = np.zeros(len(own), np.int64), np.zeros(m, np.int64)
             hits = []
             for a in range(0, len(own), 512):
-                hit = vec[m + a : m + a + 512] @ vec[:m].T >= threshold
-                for r in range(len(hit)):
-                    if at[a + r] >= 0:
-                        hit[r, at[a + r]] = False
+                part = who[a : a + 512]
+                hit = vec[part] @ vec[:m].T >= threshold
+                for r in np.flatnonzero(at[a : a + len(part)] >= 0):
+                    hit[r, at[a + r]] = False
                 mine[a : a + len(hit)] = hit @ mult[:m]
-                out = np.flatnonzero(at[a : a + len(hit)] < 0)
-                homes = home[m + a : m + a + 512][out]
-                for other in np.unique(homes):  # members that don't visit this cell count what has come from it
+                # Members that don't visit a visitor's home count what has come from it; a visitor of this home comes to all.
+                out = np.flatnonzero(hit.any(1) & (home[part] != home[0]))
+                homes = home[part][out]
+                for other in np.unique(homes):
                     unseen = np.array([int(other) not in x for x in seen])
                     rows = out[homes == other]
-                    theirs += (mult[m + a + rows] @ hit[rows]) * unseen
+                    theirs += (mult[part[rows]] @ hit[rows]) * unseen
                 hits += [np.flatnonzero(h) for h in hit]
             ids = np.where(at >= 0, at, m + np.arange(len(own)))
             names = np.concatenate([node[:m], own])
@@ -222,8 +244,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             if not final:
                 bounds.pop()
             node, mult, home = (c.to_numpy() for c in (cols[4], cols[5], cols[6]))
-            role, visits, unit = cols[3].to_numpy(), cols[7], cols[8]
-            groups = ((role[a:z], node[a:z], mult[a:z], home[a:z], visits.slice(a, z - a).to_pylist(), unit.slice(a, z - a).to_pylist()) for a, z in zip(bounds, bounds[1:], strict=False))
+            role, visits, vector = cols[3].to_numpy(), cols[7], cols[8]
+            groups = ((role[a:z], node[a:z], mult[a:z], home[a:z], visits.slice(a, z - a).to_pylist(), vector.slice(a, z - a).to_pylist()) for a, z in zip(bounds, bounds[1:], strict=False))
             return groups, bounds[-1]
 
         rest: pa.Table | None = None
@@ -244,11 +266,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts] + [e[0] for e in edges], pa.int64()), pa.array([None] * len(counts) + [e[1] for e in edges], pa.int64()), pa.array([c[1] for c in counts] + [0] * len(edges), pa.int64())], names=["a", "b", "n"])
 
     found = materialize(both.mapInArrow(run, "a long, b long, n long"), "links")
+    discard(hot, p)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("b is not null").select("a", "b"))
-    d = d.join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = d.groupBy("component").agg(F.min("low").alias("component_id"))
-    d = d.join(lows, "component").select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    out = v.where("embedding is not null").join(d, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
+    e = d.join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    e = e.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    lows = e.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    e = e.join(lows, ["component", "salt"]).select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    out = v.where("embedding is not null").join(e, F.col("embedding") == F.col("e")).select("vec_id", "n_links", "component_id")
     alone = v.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

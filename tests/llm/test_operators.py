@@ -391,6 +391,25 @@ def test_op6(spark, monkeypatch):
         assert (n <= link.sum(1)).all() and n.sum() >= 0.9 * link.sum()
 
 
+def test_op6_blocks(spark, monkeypatch):
+    """Every cell visited: links, components and kept rows are those of all pairs, cells in one block or in many, floats or doubles."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    x = np.concatenate([x, x[:80] + rng.normal(size=(80, 8)) * 0.1, x[:1] + rng.normal(size=(120, 8)) * 0.1, x[:30]]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    sets = Sets()
+    for a, z in zip(*np.nonzero(link), strict=True):
+        sets.join(int(a), int(z))
+    want = [(k, int(link[k].sum()), sets.find(k), sets.find(k) == k) for k in range(len(x))]
+    monkeypatch.setattr(multi_index.MultiIndex, "calibrated", lambda self, x, rng: self.k * self.k)
+    for hot, of, cells in ((4096, "float", 1 << 18), (10, "double", 1 << 18), (10, "float", 0)):
+        monkeypatch.setattr(multi_index, "HOT", hot), monkeypatch.setattr(multi_index, "CELLS", cells), monkeypatch.setattr(multi_index, "PER_CELL", 20)
+        d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"vec_id long, embedding array<{of}>")
+        assert sorted(map(tuple, multi_index.near_duplicates(d).collect())) == want
+
+
 def test_op7(spark, texts):
     got = queries.op7_sharding(spark, SF).toPandas()
     assert sorted(got.doc_id) == sorted(texts) and set(got.law) == {"bytes"}
