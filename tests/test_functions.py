@@ -105,6 +105,21 @@ def test_merging_and_magnitudes():
     assert ans.widths(30)[:7].tolist() == [1, 1, 2, 4, 8, 14, 0]
 
 
+def test_frames_of_few_wide_values():
+    """Few wide values, or rare small ones among many, would ask for frames past 2^32, in which the coder's state overflows."""
+    rng = np.random.default_rng(8)
+    for wide, small in ((4_130_000_000, 400), (1 << 28, 5000), ((1 << 32) - 2, 3)):
+        blocks = [np.append(wide - k, rng.integers(small // 2, small, 255)) for k in range(8)] + [wide >> np.arange(6), np.array([1])]
+        flat = np.concatenate(blocks)
+        counts = _counts(flat, True)
+        counts[max(m for m in counts if m < 20)] += 10**6 * (wide < 1 << 30)
+        model = ans.MagnitudeModel(counts, int(flat.max()) + 1)
+        assert model.size & (model.size - 1) == 0 and model.size <= 1 << 32 and all(model.freq[m] > 0 for m in counts)
+        data = ans.encode_blocks(blocks, [15] * len(blocks), {15: model}, True, False)
+        back = ans.decode_blocks(data, [len(b) for b in blocks], {15: model}, True, False)
+        assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+
+
 def test_partitions():
     rng = np.random.default_rng(0)
     v = np.unique(np.concatenate([rng.integers(0, 100_000, 300), np.arange(5000, 7000)])).tolist()
