@@ -309,6 +309,8 @@ BLOCK = 1 << 14
 #: Bits of the wide fingerprint, pivots that all buckets try side by side, and what the order of shingles is made of: up to
 #: COMMON shingles that OFTEN or more texts of a task's part have. The order changes the work, never the links.
 SKETCH, ROUNDS, OFTEN, COMMON = 512, 2, 8, 1 << 17
+#: 64-bit words of the sketches that candidates of long texts are also compared by, where a bucket is looked at pair by pair.
+MIDDLE = 32
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -330,6 +332,32 @@ def wide_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def middle_sketch(wide: bytes) -> bytes:
+    """A wide sketch folded to MIDDLE words at most."""
+    x = np.frombuffer(wide, np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, min(len(x), MIDDLE)), axis=0).tobytes()
+
+
+def middle_words(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Middle sketches as rows of MIDDLE words, zeros behind narrower ones, and the words of each."""
+    words = np.fromiter((len(x) // 8 for x in sketches), np.int64, len(sketches))
+    out = np.zeros((len(sketches), MIDDLE), np.uint64)
+    for m in np.unique(words):
+        at = np.flatnonzero(words == m)
+        out[at, :m] = np.frombuffer(b"".join([sketches[k] for k in at]), np.uint64).reshape(-1, m)
+    return out, words
+
+
+def middle_distance(middle: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of rows i and j, each pair at the narrower one's width."""
+    out, width = np.zeros(len(i), np.int64), np.minimum(words[i], words[j])
+    for m in np.unique(width):
+        at = np.flatnonzero(width == m)
+        diff = (middle[i[at]] ^ middle[j[at]]).reshape(len(at), -1, m)
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(diff, axis=1)).sum(-1, dtype=np.int64)
+    return out
+
+
 def packed(shingles: np.ndarray) -> bytes:
     """The low 40 bits of each hash, for the check of a pair: two sets of 1,000 meet by chance once in a million pairs."""
     return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -497,6 +525,17 @@ def crossing_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, sk
                 yield np.full(len(j), rows[p + x]), rows[j]
 
 
+def screened_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, middle: np.ndarray, words: np.ndarray, similarity: float):
+    """Yields all pairs (i, j) of rows of one key (sorted) that are of different components and may link by their middle sketches.
+
+    A sketch of SKETCH bits says nothing of long texts, which all buckets of a frequent passage hold, so they are compared by
+    bits in proportion to their shingles before they leave the task. Sets alike by `similarity` always pass."""
+    for i, j in crossing_links(key, component, sizes, np.bitwise_xor.reduce(middle.reshape(len(middle), -1, SKETCH // 64), axis=1), similarity):
+        may = middle_distance(middle, words, i, j) <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+        if may.any():
+            yield i[may], j[may]
+
+
 def _whole_keys(batches, columns):
     """Columns of rows sorted by the first, as arrays that hold every row of a key; columns(batch) gives the arrays."""
     held: list[list[np.ndarray]] = []
@@ -637,10 +676,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         for node, some in _once(batches):
             for at in range(0, len(some), 500):
                 h = [np.unique(shingle_hashes(t, words)) for t in some[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array([wide_sketch(x) for x in h], pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "wide", "shingles"])
+                wide = [wide_sketch(x) for x in h]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array(wide, pa.binary()), pa.array(map(middle_sketch, wide), pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "wide", "middle", "shingles"])
 
-    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, wide binary, shingles binary")
-    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "wide", "shingles")]), "shingles")  # the same row twice has equal sets
+    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, wide binary, middle binary, shingles binary")
+    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "wide", "middle", "shingles")]), "shingles")  # the same row twice has equal sets
     collect_garbage(spark)
     buckets = in_blocks(dealt).join(known.select("node", "size", "sketch").hint("merge"), "node").select("task", "key", "node", "size", "sketch")
 
@@ -693,14 +733,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     # A forest's link that does not hold leaves pieces apart that other pairs of its bucket may join: all those are tested.
     failed = materialize(links.join(tested[0].where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
     if not failed.isEmpty():
-        apart = in_blocks(dealt.join(failed.hint("merge"), "key", "left_semi")).join(known.select("node", "size", "sketch").hint("merge"), "node")
-        apart = apart.join(comps, "node", "left").select("task", "key", "node", "size", "sketch", F.coalesce("component", "node").alias("component"))
+        apart = in_blocks(dealt.join(failed.hint("merge"), "key", "left_semi")).join(known.select("node", "size", "middle").hint("merge"), "node")
+        apart = apart.join(comps.hint("merge"), "node", "left").select("task", "node", "size", "middle", F.coalesce("component", "node").alias("component"))
+
+        def middles(b):
+            return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), *middle_words(b.column(3).to_pylist()), b.column(4).to_numpy()]
 
         def crossing(batches):
-            for task, _, node, size, sk, comp in _whole_keys(batches, lambda b: [*columns(b), b.column(5).to_numpy()]):
-                for i, j in crossing_links(task, comp, size, sk, similarity):
-                    if len(i):
-                        yield pairs(node[i], node[j])
+            for task, node, size, middle, wide, comp in _whole_keys(batches, middles):
+                for i, j in screened_links(task, comp, size, middle, wide, similarity):
+                    yield pairs(node[i], node[j])
 
         more = apart.repartition("task").sortWithinPartitions("task", "node").mapInArrow(crossing, "a long, b long").distinct()
         tested.append(verified(more.join(tested[0].hint("merge"), ["a", "b"], "left_anti")))

@@ -231,6 +231,24 @@ def test_wide_sketches_part_no_link():
     assert simhash.wide_distance(simhash.wide_sketch(a), simhash.wide_sketch(b)) > 0.222 * 2750
 
 
+def test_long_texts_are_screened_before_they_leave_a_task():
+    """Sets of thousands share a frequent passage: 512 bits cannot tell them apart, so every two of them were candidates."""
+    rng = np.random.default_rng(10)
+    some = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    sets = [np.unique(some(n)) for n in (2000, 2100, 2200, 2300, 900, 300) for _ in range(15)]
+    sets.append(np.unique(np.append(sets[0][160:], some(160))))
+    sets.append(np.unique(np.append(sets[-2][10:], some(20))))
+    size = np.array([len(x) for x in sets])
+    middle, words = simhash.middle_words([simhash.middle_sketch(simhash.wide_sketch(x)) for x in sets])
+    narrow = np.stack([np.frombuffer(simhash.sketch(x), np.uint64) for x in sets])
+    assert np.array_equal(np.bitwise_xor.reduce(middle.reshape(len(sets), -1, narrow.shape[1]), axis=1), narrow)
+    key, comp = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    pairs = lambda links: {(min(a, b), max(a, b)) for i, j in links for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    before, after = pairs(simhash.crossing_links(key, comp, size, narrow, 0.8)), pairs(simhash.screened_links(key, comp, size, middle, words, 0.8))
+    alike = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if simhash.similarity_of(sets[i], sets[j]) >= 0.8}
+    assert len(alike) == 2 and alike <= after <= before and len(before) > 1000 and len(after) < 10
+
+
 def test_similarity_of():
     x = lambda *v: np.array(v, np.uint64)
     assert simhash.similarity_of(x(1, 2, 3, 4), x(1, 2, 3, 4, 5)) == 0.8 and simhash.similarity_of(x(), x()) == 1 and simhash.similarity_of(x(), x(1)) == 0
