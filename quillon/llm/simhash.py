@@ -296,10 +296,10 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     rows = materialize(fingerprints(docs, words), "fingerprints")
     d = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "distinct")
     comps = connected_components(fingerprint_links(d.select("fp", "node")))
-    d_ = d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    d_ = d.join(comps.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     lows = d_.groupBy("component").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    d_ = materialize(d_.join(lows, ["component", "salt"]).select(F.col("fp").alias("fp_"), "component_id"), "fingerprint-components")  # written, so adaptive execution can split a hot fingerprint
-    out = rows.join(d_, rows.fp == d_.fp_)
+    d_ = materialize(d_.join(lows.hint("merge"), ["component", "salt"]).select(F.col("fp").alias("fp_"), "component_id"), "fingerprint-components")  # written, so adaptive execution can split a hot fingerprint
+    out = rows.join(d_.hint("merge"), rows.fp == d_.fp_)
     discard(d, comps)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -749,7 +749,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         both = tested[0].union(tested[1]).where("holds").select("a", "b")
         discard(comps)
         comps = connected_components(both)
-    whole = smallest(d.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    whole = smallest(d.join(comps.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     out = rows.join(whole.withColumnRenamed("digest", "digest_").hint("merge"), F.col("digest") == F.col("digest_"))
     kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
     out = materialize(out.select("doc_id", "text_hash", F.col("low.doc_id").alias("component_id"), kept.alias("kept"), "n"), "near-groups")
@@ -764,7 +764,7 @@ def smallest(d: DataFrame) -> DataFrame:
     d = d.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
     lows = d.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("low"))
     lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return d.join(lows, ["component", "salt"]).select("digest", "low")
+    return d.join(lows.hint("merge"), ["component", "salt"]).select("digest", "low")
 
 
 def text_hash():

@@ -263,6 +263,16 @@ def test_components(spark):
     assert got == {x: s.find(x) for e in edges for x in e if e[0] != e[1] or x in got}
 
 
+def test_components_without_broadcasts(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)]
+    want = sorted(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    monkeypatch.setattr(components, "BROADCAST", 0)
+    assert sorted(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()) == want
+    docs = spark.createDataFrame([(k, f"one two three four {k // 2}") for k in range(40)], "doc_id long, text string")
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # fingerprints grow with the data
+
+
 def test_op2():
     p = sentencepiece_nbest.Pieces(vocabulary_path())
     e, rng = sentencepiece_nbest.Encoder(p, 4), random.Random(3)
