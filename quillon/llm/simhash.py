@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, discard, materialize
+from .common import collect_garbage, discard, materialize, mix64
 from .components import connected_components
 
 RADIUS = 4
@@ -311,6 +311,8 @@ BLOCK = 1 << 14
 SKETCH, ROUNDS, OFTEN, COMMON = 512, 2, 8, 1 << 17
 #: 64-bit words of the sketches that candidates of long texts are also compared by, where a bucket is looked at pair by pair.
 MIDDLE = 32
+#: Keys of a row, the smallest, by which a pair that meets under several keys is told to have met before.
+FIRSTS = 64
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -425,8 +427,20 @@ def _slices(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray):
         at = end
 
 
-def _small_links(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """Yields all pairs (i, j) of one key that may_link() among rows of small buckets: row k against row k + s for each shift s."""
+def _linkable(sizes: np.ndarray, sketches: np.ndarray, similarity: float, screen=None):
+    """Of pairs (i, j), which may_link(), and pass screen(i, j) if there is one."""
+
+    def linkable(i, j):
+        ok = may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)
+        if screen is not None and ok.any():
+            ok[ok] = screen(i[ok], j[ok])
+        return ok
+
+    return linkable
+
+
+def _small_links(rows: np.ndarray, key: np.ndarray, linkable):
+    """Yields all pairs (i, j) of one key that are linkable() among rows of small buckets: row k against row k + s for each shift s."""
     _, many = _buckets(key[rows])
     rows = rows[np.argsort(-np.repeat(many, many), kind="stable")]  # later shifts look at the larger buckets only
     s = 1
@@ -436,7 +450,7 @@ def _small_links(rows: np.ndarray, key: np.ndarray, sizes: np.ndarray, sketches:
             return
         for at in range(0, len(same), 1 << 15):
             i, j = rows[same[at : at + (1 << 15)]], rows[same[at : at + (1 << 15)] + s]
-            ok = may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)
+            ok = linkable(i, j)
             yield i[ok], j[ok]
         rows, s = rows[: same[-1] + s + 1], s + 1
 
@@ -447,8 +461,8 @@ def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _rounds(mine: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """Yields links (i, j) that may_link() from ROUNDS pivots of each bucket, all buckets side by side; last the rows of buckets
+def _rounds(mine: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, linkable):
+    """Yields links (i, j) that are linkable() from ROUNDS pivots of each bucket, all buckets side by side; last the rows of buckets
     that want more pivots. A bucket's pivots are its first row, then rows reached, then its first row not reached."""
     lanes, n = np.arange(len(mine)), int(group.max()) + 1
     head, after, pivot = np.full(n, -1), np.full(len(mine), -1), np.full(n, -1)
@@ -466,7 +480,7 @@ def _rounds(mine: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np
         dead = ~_pack(np.ones(len(lanes), bool), planes.shape[1])
         near = _lanes(_within(lambda p, live, planes=planes: planes[p] if live is None else planes[p][live], dead, radius, len(planes)))
         i, j = mine[to[near]], mine[lanes[near]]
-        near = near[may_link(sketches[i], sizes[i], sketches[j], sizes[j], similarity)]
+        near = near[linkable(i, j)]
         if not len(near):
             continue
         hit = lanes[near]
@@ -479,30 +493,30 @@ def _rounds(mine: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np
     yield mine[np.isin(group, group[lanes])]
 
 
-def forest_links(key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
-    """Yields links (i, j) between rows of one key (sorted) that may_link(): they join all rows that any such links join.
+def forest_links(key: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float, screen=None):
+    """Yields links (i, j) between rows of one key (sorted) that may_link(), and pass screen(i, j) if there is one: they join all
+    rows that any such links join.
 
     Sketches are compared bit-sliced, at the radius of the largest sets; what is within it is looked at by its own sizes."""
     _, many = _buckets(key)
-    unfinished = []
+    linkable, unfinished = _linkable(sizes, sketches, similarity, screen), []
     for mine, group in _slices(np.flatnonzero(np.repeat(many > 1, many)), key, sizes):
-        *links, left = _rounds(mine, group, sizes, sketches, similarity)
+        *links, left = _rounds(mine, group, sizes, sketches, similarity, linkable)
         yield from links
         unfinished.append(left)
     rows = np.sort(np.concatenate(unfinished)) if unfinished else np.zeros(0, np.int64)
     starts, many = _buckets(key[rows])
-    yield from _small_links(rows[np.repeat(many <= SMALL, many)], key, sizes, sketches, similarity)
+    yield from _small_links(rows[np.repeat(many <= SMALL, many)], key, linkable)
     for g in np.flatnonzero(many > SMALL):
         mine = rows[starts[g] : starts[g] + many[g]]
-        sk, size = sketches[mine], sizes[mine]
-        i, j = pivot_links(sk, min(_apart(size, similarity), SKETCH), lambda p, to, sk=sk, size=size: may_link(sk[p], size[p], sk[to], size[to], similarity))
+        i, j = pivot_links(sketches[mine], min(_apart(sizes[mine], similarity), SKETCH), lambda p, to, mine=mine: linkable(np.full(len(to), mine[p]), mine[to]))
         yield mine[i], mine[j]
 
 
 def crossing_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float):
     """Yields all pairs (i, j) of rows of one key (sorted) that may_link() and are of different components."""
     starts, many = _buckets(key)
-    for i, j in _small_links(np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many)), key, sizes, sketches, similarity):
+    for i, j in _small_links(np.flatnonzero(np.repeat((many > 1) & (many <= SMALL), many)), key, _linkable(sizes, sketches, similarity)):
         apart = component[i] != component[j]
         yield i[apart], j[apart]
     for g in np.flatnonzero(many > SMALL):
@@ -525,17 +539,64 @@ def crossing_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, sk
                 yield np.full(len(j), rows[p + x]), rows[j]
 
 
-def screened_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, middle: np.ndarray, words: np.ndarray, similarity: float):
-    """Yields all pairs (i, j) of rows of one key (sorted) that are of different components and may link by their middle sketches.
+def narrowed(middle: np.ndarray) -> np.ndarray:
+    """Middle sketches as sketches of SKETCH bits."""
+    return np.bitwise_xor.reduce(middle.reshape(len(middle), -1, SKETCH // 64), axis=1)
+
+
+def middle_screen(sizes: np.ndarray, middle: np.ndarray, words: np.ndarray, similarity: float):
+    """Of pairs (i, j), which may link by their middle sketches: all that are alike by `similarity` pass.
 
     A sketch of SKETCH bits says nothing of long texts, which all buckets of a frequent passage hold, so they are compared by
-    bits in proportion to their shingles before they leave the task. Sets alike by `similarity` always pass."""
-    for i, j in crossing_links(key, component, sizes, np.bitwise_xor.reduce(middle.reshape(len(middle), -1, SKETCH // 64), axis=1), similarity):
-        may = middle_distance(middle, words, i, j) <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+    bits in proportion to their shingles before they leave the task."""
+    return lambda i, j: middle_distance(middle, words, i, j) <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+
+
+def screened_links(key: np.ndarray, component: np.ndarray, sizes: np.ndarray, middle: np.ndarray, words: np.ndarray, similarity: float):
+    """Yields all pairs (i, j) of rows of one key (sorted) that are of different components and pass middle_screen()."""
+    screen = middle_screen(sizes, middle, words, similarity)
+    for i, j in crossing_links(key, component, sizes, narrowed(middle), similarity):
+        may = screen(i, j)
         if may.any():
             yield i[may], j[may]
 
 
+def first_meetings(i: np.ndarray, j: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Of pairs (i, j) of one key, those that meet under no smaller key; firsts has smaller keys of each row.
+
+    A list may leave keys out: pairs then come more than once, and under their smallest key in any case."""
+    rows = {k: frozenset(firsts[k]) for k in np.unique(np.concatenate([i, j])).tolist()}
+    return np.fromiter((rows[a].isdisjoint(rows[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+
+
+def signed_buckets(batches):
+    """Passes on batches of rows (key, node) sorted by key, and adds a row for each key, without a node, that signs its set of
+    nodes: their number and two sums of hashes, 128 bits, equal for equal sets. Only the sums of the last key are held."""
+    names, held = ["key", "node", "n", "low", "high"], None
+
+    def signs(of):
+        return pa.RecordBatch.from_arrays([pa.array(of[0]), pa.nulls(len(of[0]), pa.int64()), *[pa.array(x.view(np.int64)) for x in of[1:]]], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        none = pa.nulls(b.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), none, none, none], names=names)
+        key, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        starts, many = _buckets(key)
+        new = [key[starts], many.astype(np.uint64), np.add.reduceat(mix64(node), starts), np.add.reduceat(mix64(~node), starts)]
+        if held is not None and held[0][0] == key[0]:
+            for x, y in zip(new[1:], held[1:], strict=True):
+                x[:1] += y
+        elif held is not None:
+            new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        held = [x[-1:].copy() for x in new]
+        if len(new[0]) > 1:
+            yield signs([x[:-1] for x in new])
+    if held is not None:
+        yield signs(held)
+
+
 def _whole_keys(batches, columns):
     """Columns of rows sorted by the first, as arrays that hold every row of a key; columns(batch) gives the arrays."""
     held: list[list[np.ndarray]] = []
@@ -592,7 +653,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Equal sets of shingles are one node. A link holds if the Jaccard similarity of two sets of shingle hashes is `similarity` or
     more. A node's wide fingerprint has the parity of its shingles on each bit where a SimHash has the majority, as two sets
     then differ in no fewer shingles than fingerprints in bits: no link is lost to the radius. Candidates share a shingle of
-    their prefixes, which two sets so alike always do, and are compared bit-sliced. Of each bucket a forest of the candidates
+    their prefixes, which two sets so alike always do, and are compared bit-sliced; of buckets of the same nodes one is looked at. Of each bucket a forest of the candidates
     is verified on the sets; where a link of it does not hold, so are all candidates of the bucket between groups still apart.
     So the groups are those of all pairs, at any size of group.
     Defined results: null, empty and blank texts are alike; of rows with one doc_id and different texts each is a row of its
@@ -669,7 +730,12 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     made = texts.mapInArrow(deal, "doc_id long, text_hash long, keys array<long>")
     every = of_nodes(made, d).select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    dealt = materialize(every.mapInArrow(shared, "key long, node long"), "dealt")
+    signed = materialize(every.mapInArrow(lambda batches: signed_buckets(shared(batches)), "key long, node long, n long, low long, high long"), "signed")
+    collect_garbage(spark)
+    # Keys with the same nodes, as the shingles of a shared passage have, give the same pairs: one of them stays.
+    own = signed.where("node is null").groupBy("n", "low", "high").agg(F.min("key").alias("key")).select("key")
+    dealt = materialize(signed.where("node is not null").select("key", "node").join(own.hint("merge"), "key", "left_semi"), "dealt")
+    discard(signed)
     collect_garbage(spark)
 
     def sets(batches):
@@ -677,22 +743,22 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             for at in range(0, len(some), 500):
                 h = [np.unique(shingle_hashes(t, words)) for t in some[at : at + 500]]
                 wide = [wide_sketch(x) for x in h]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array([sketch(x) for x in h], pa.binary()), pa.array(wide, pa.binary()), pa.array(map(middle_sketch, wide), pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "sketch", "wide", "middle", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), pa.array([len(x) for x in h], pa.int32()), pa.array(wide, pa.binary()), pa.array(map(middle_sketch, wide), pa.binary()), pa.array([packed(x) for x in h], pa.binary())], names=["node", "size", "wide", "middle", "shingles"])
 
-    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, sketch binary, wide binary, middle binary, shingles binary")
-    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "wide", "middle", "shingles")]), "shingles")  # the same row twice has equal sets
+    known = of_nodes(texts, dealt.select("node").distinct().join(d, "node")).select("node", "text").mapInArrow(sets, "node long, size int, wide binary, middle binary, shingles binary")
+    known = materialize(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "wide", "middle", "shingles")]), "shingles")  # the same row twice has equal sets
     collect_garbage(spark)
-    buckets = in_blocks(dealt).join(known.select("node", "size", "sketch").hint("merge"), "node").select("task", "key", "node", "size", "sketch")
+    buckets = in_blocks(dealt).join(known.select("node", "size", "middle").hint("merge"), "node").select("task", "key", "node", "size", "middle")
 
     def columns(b):
-        return [*[b.column(k).to_numpy() for k in range(3)], b.column(3).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+        return [*[b.column(k).to_numpy() for k in range(3)], b.column(3).to_numpy().astype(np.int64), *middle_words(b.column(4).to_pylist())]
 
     def pairs(a, z, *more, names=("a", "b")):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z)), *more], names=list(names))
 
     def candidates(batches):
-        for task, key, node, size, sk in _whole_keys(batches, columns):
-            for i, j in forest_links(task, size, sk, similarity):
+        for task, key, node, size, middle, wide in _whole_keys(batches, columns):
+            for i, j in forest_links(task, size, narrowed(middle), similarity, middle_screen(size, middle, wide, similarity)):
                 if len(i):
                     yield pairs(node[i], node[j], pa.array(key[i]), names=("a", "b", "key"))
 
@@ -733,16 +799,25 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     # A forest's link that does not hold leaves pieces apart that other pairs of its bucket may join: all those are tested.
     failed = materialize(links.join(tested[0].where("not holds"), ["a", "b"]).select("key").distinct(), "failed")
     if not failed.isEmpty():
-        apart = in_blocks(dealt.join(failed.hint("merge"), "key", "left_semi")).join(known.select("node", "size", "middle").hint("merge"), "node")
-        apart = apart.join(comps.hint("merge"), "node", "left").select("task", "node", "size", "middle", F.coalesce("component", "node").alias("component"))
-
-        def middles(b):
-            return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), *middle_words(b.column(3).to_pylist()), b.column(4).to_numpy()]
+        again = dealt.join(failed.hint("merge"), "key", "left_semi")
+        firsts = again.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRSTS).alias("firsts"))  # no more keys than a prefix has
+        apart = in_blocks(again).join(known.select("node", "size", "middle").join(firsts.hint("merge"), "node").hint("merge"), "node")
+        apart = apart.join(comps.hint("merge"), "node", "left")
+        before = F.filter("firsts", lambda k: k < F.col("key")).alias("before")
+        apart = apart.select("task", "key", "node", "size", "middle", F.coalesce("component", "node").alias("component"), before)
+
+        def listed(b):
+            lists = np.empty(b.num_rows, object)
+            for k, keys in enumerate(b.column(6).to_pylist()):
+                lists[k] = keys
+            return [*columns(b), b.column(5).to_numpy(), lists]
 
         def crossing(batches):
-            for task, node, size, middle, wide, comp in _whole_keys(batches, middles):
+            for task, _, node, size, middle, wide, comp, before in _whole_keys(batches, listed):
                 for i, j in screened_links(task, comp, size, middle, wide, similarity):
-                    yield pairs(node[i], node[j])
+                    new = first_meetings(i, j, before)
+                    if new.any():
+                        yield pairs(node[i[new]], node[j[new]])
 
         more = apart.repartition("task").sortWithinPartitions("task", "node").mapInArrow(crossing, "a long, b long").distinct()
         tested.append(verified(more.join(tested[0].hint("merge"), ["a", "b"], "left_anti")))

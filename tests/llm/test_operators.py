@@ -249,6 +249,55 @@ def test_long_texts_are_screened_before_they_leave_a_task():
     assert len(alike) == 2 and alike <= after <= before and len(before) > 1000 and len(after) < 10
 
 
+def test_a_pair_of_many_keys_crosses_once():
+    """Near copies share many of the keys that they are compared under; a pair left a task once for each of them."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    sets = [np.unique(np.append(np.delete(base, rng.integers(0, 90, 5)), rng.integers(0, 2**63, 5, dtype=np.uint64))) for _ in range(40)]
+    keys = [sorted(rng.choice(30, 20, replace=False).tolist()) for _ in sets]
+    middle, words = simhash.middle_words([simhash.middle_sketch(simhash.wide_sketch(x)) for x in sets])
+    size = np.array([len(x) for x in sets])
+    for most in (20, 6):  # a list may leave keys out
+        every, once = [], []
+        for k in range(30):
+            rows = np.array([r for r in range(len(sets)) if k in keys[r]])
+            firsts = np.empty(len(rows), object)
+            for n, r in enumerate(rows):
+                firsts[n] = [x for x in keys[r][:most] if x < k]
+            for i, j in simhash.screened_links(np.full(len(rows), k), rows, size[rows], middle[rows], words[rows], 0.8):
+                new = simhash.first_meetings(i, j, firsts)
+                every += [tuple(sorted(x)) for x in zip(rows[i].tolist(), rows[j].tolist(), strict=True)]
+                once += [tuple(sorted(x)) for x in zip(rows[i[new]].tolist(), rows[j[new]].tolist(), strict=True)]
+        assert set(once) == set(every) and len(every) > 5 * len(set(every)) and len(once) < len(every) / 2
+        assert most < 20 or len(once) == len(set(once))
+
+
+def test_buckets_of_the_same_nodes_have_one_signature():
+    import pyarrow as pa
+
+    rows = [(k, n) for k, nodes in {1: [0, 5], 2: [0, 5], 3: [5], 4: [0, 5, 9], 6: [0, 9], 7: list(range(50)), 9: list(range(50)), 11: [0, 5]}.items() for n in nodes]
+    for cut in (1, 2, 7, len(rows)):
+        parts = [rows[a : a + cut] for a in range(0, len(rows), cut)] + [[]]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in p], pa.int64()) for c in (0, 1)], names=["key", "node"]) for p in parts]
+        got = [r for b in simhash.signed_buckets(iter(batches)) for r in b.to_pylist()]
+        assert [(r["key"], r["node"]) for r in got if r["node"] is not None] == rows
+        of = {r["key"]: (r["n"], r["low"], r["high"]) for r in got if r["node"] is None}
+        assert len(of) == len([r for r in got if r["node"] is None]) == 8
+        assert of[1] == of[2] == of[11] and of[7] == of[9] and len(set(of.values())) == 5
+    assert not list(simhash.signed_buckets(iter([])))
+
+
+def test_forests_are_screened_by_middle_sketches():
+    """Sets of thousands that share a passage: a forest of 512 bits joined them all, and all its links failed."""
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (2000, 2100, 900) for _ in range(50)]
+    sets += [np.unique(np.append(x[100:], rng.integers(0, 2**63, 50, dtype=np.uint64))) for x in sets[:20]]
+    size, key = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+    middle, words = simhash.middle_words([simhash.middle_sketch(simhash.wide_sketch(x)) for x in sets])
+    links = lambda *screen: {(min(a, b), max(a, b)) for i, j in simhash.forest_links(key, size, simhash.narrowed(middle), 0.8, *screen) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert len(links()) > 100 and links(simhash.middle_screen(size, middle, words, 0.8)) == {(k, 150 + k) for k in range(20)}
+
+
 def test_similarity_of():
     x = lambda *v: np.array(v, np.uint64)
     assert simhash.similarity_of(x(1, 2, 3, 4), x(1, 2, 3, 4, 5)) == 0.8 and simhash.similarity_of(x(), x()) == 1 and simhash.similarity_of(x(), x(1)) == 0
