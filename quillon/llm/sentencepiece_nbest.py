@@ -345,6 +345,17 @@ def encode(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, ids array<int>, score double, nbest array<double>, decoded string")
 
 
+def digests(texts: list[str], encoder: Encoder) -> list[pa.Array]:
+    """Columns of digest() for texts; copies, which a mix has side by side, are encoded once."""
+    at = _Index()
+    rows = pa.array([at[t] for t in texts], pa.int64())
+    own = list(at)
+    got = encoder.encode(own)
+    ok = [encoder.pieces.decode(g[0].tolist()) == t for g, t in zip(got, own, strict=True)]
+    made = [pa.array([len(t) for t in own], pa.int64()), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([hashlib.md5(g[0].astype("<i4").tobytes()).hexdigest() for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.float64())), pa.array(ok, pa.bool_())]
+    return [x.take(rows) for x in made]
+
+
 def digest(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
     """As encode(), with digests for what is long: doc_id, n_chars, n_pieces, ids_md5 (of little-endian 32-bit ids), score,
     nbest, decoded_ok (does decoding give the text back?). Digests are made where the ids are, so these stay there."""
@@ -354,10 +365,8 @@ def digest(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
         encoder = Encoder(held.value, best)
         for b in batches:
             for a in range(0, b.num_rows, 500):
-                texts = [t or "" for t in b.column(1).slice(a, 500).to_pylist()]
-                got = encoder.encode(texts)
-                ok = [encoder.pieces.decode(g[0].tolist()) == t for g, t in zip(got, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 500), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g[0]) for g in got], pa.int64()), pa.array([hashlib.md5(g[0].astype("<i4").tobytes()).hexdigest() for g in got]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.list_(pa.float64())), pa.array(ok)], names=["doc_id", "n_chars", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok"])
+                made = digests([t or "" for t in b.column(1).slice(a, 500).to_pylist()], encoder)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 500), *made], names=["doc_id", "n_chars", "n_pieces", "ids_md5", "score", "nbest", "decoded_ok"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return d.mapInArrow(run, "doc_id long, n_chars long, n_pieces long, ids_md5 string, score double, nbest array<double>, decoded_ok boolean")

@@ -298,6 +298,21 @@ def test_forests_are_screened_by_middle_sketches():
     assert len(links()) > 100 and links(simhash.middle_screen(size, middle, words, 0.8)) == {(k, 150 + k) for k in range(20)}
 
 
+def test_copies_side_by_side_are_encoded_once():
+    seen = []
+
+    class Counting(sentencepiece_nbest.Encoder):
+        def encode(self, texts):
+            seen.extend(texts)
+            return super().encode(texts)
+
+    pieces = sentencepiece_nbest.Pieces(vocabulary_path())
+    texts = ["one text", "one text", "", "another text", "one text", ""]
+    got = [x.to_pylist() for x in sentencepiece_nbest.digests(texts, Counting(pieces))]
+    want = [[x.to_pylist()[0] for x in sentencepiece_nbest.digests([t], sentencepiece_nbest.Encoder(pieces))] for t in texts]
+    assert seen == ["one text", "", "another text"] and list(map(list, zip(*got, strict=True))) == want
+
+
 def test_similarity_of():
     x = lambda *v: np.array(v, np.uint64)
     assert simhash.similarity_of(x(1, 2, 3, 4), x(1, 2, 3, 4, 5)) == 0.8 and simhash.similarity_of(x(), x()) == 1 and simhash.similarity_of(x(), x(1)) == 0
